@@ -158,7 +158,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns keep of every row with fp (signed 64 bits) and component_id, the smallest id reachable by links."""
+    """The columns keep of every row with fp (signed 64 bits), component_id (the smallest id reachable
+    by links) and root (the smallest fingerprint of the component)."""
 
     def make():
         return lambda texts: [[fingerprint(t, words) for t in texts]]
@@ -168,7 +169,7 @@ def near_duplicates(docs: DataFrame, keep: list[str], words: int = WORDS, radius
     roots = components(links_within(distinct.select("fp"), radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = materialize(rooted.join(least, "root").select(F.col("fp").alias("__fp"), "component_id"), "components")
+    of = materialize(rooted.join(least, "root").select(F.col("fp").alias("__fp"), "component_id", "root"), "components")
     return marked.join(of, marked["fp"] == of["__fp"]).drop("__fp")
 
 
