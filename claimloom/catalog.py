@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("operators.evidence",)
+
+
+def _collect(kind: str) -> dict:
+    out: dict = {}
+    for name in MODULES:
+        found = getattr(import_module(f"claimloom.{name}"), kind)
+        if clash := out.keys() & found.keys():
+            raise ValueError(f"defined twice: {sorted(clash)}")
+        out |= found
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _collect("QUERIES")
 
 
 def oracle_sql() -> dict:
-    return {}
+    return _collect("ORACLES")
