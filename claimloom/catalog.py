@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.evidence",)
+MODULES = ("operators.evidence", "operators.workflow")
 
 
 def _collect(kind: str) -> dict:
