@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.evidence", "operators.workflow")
+MODULES = ("operators.evidence", "operators.workflow", "operators.texts")
 
 
 def _collect(kind: str) -> dict:
