@@ -84,9 +84,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int, id_col: str = "d
         from pyspark import TaskContext
 
         encoder, part, seen = tokens.worker_encoder(tokenizer), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for ids, texts in tokens.grouped(batches, 1):
             rows: list[tuple] = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, raw in zip(ids, encoder.encode(texts), strict=True):
                 n, start, piece = len(raw) // 4, 0, 0
                 while start < n:
                     length = (n - start) % max_len or max_len

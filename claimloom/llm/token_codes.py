@@ -122,8 +122,8 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
             row = [[shard], [segment], [before], [list(ids)], [lengths], [held], [pack(np.frombuffer(b"".join(parts), "<u4"))]]
             return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+        for group, texts in tokens.grouped(batches, 1):
+            for doc_id, raw in zip(group, encoder.encode(texts), strict=True):
                 if parts and held + len(raw) // 4 > segment_tokens:
                     yield close()
                     segment, before, held = segment + 1, before + held, 0

@@ -1,18 +1,33 @@
-"""Whole-text encoding with a public tokenizer, each distinct space-separated piece encoded once per worker."""
+"""Whole-text encoding with a public tokenizer, each distinct piece of a group of texts encoded once.
+
+The vocabulary's pre-tokenizer lets a token span a space only as its first character, and no token crosses a space or
+line break that has a non-space on both sides. A text in which every run of white space is one space or line break is
+therefore cut there; Arrow finds the distinct pieces, the library encodes those, and NumPy puts the ids together. Texts
+with other white space go to the library whole. Either way the ids are those of the whole text."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces that one generation of a worker's memory holds (two generations are kept), and the longest remembered.
-CACHE_PIECES, CACHE_CHARS = 600_000, 48
+#: Bytes of text that are encoded at once.
+GROUP_BYTES = 24 << 20
 
-_ODD_SPACE = re.compile(r" \s|\s ")
-_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: White space in the widest sense that is not a single space or line break.
+_ODD_SPACE = r"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Latin letters: a run of them is one token of the pre-tokenizer, and a stop or comma after it another.
+_LETTERS = r"^[A-Za-zªµºÀ-ÖØ-öø-ɏ]+$"
+_MARKED = r"^[A-Za-zªµºÀ-ÖØ-öø-ɏ]+[.,]$"
+#: The vocabulary's letter for each byte (the public byte-level scheme): printable Latin-1 as it is, others from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+#: Bytes with another letter that lines of Latin words hold.
+_IN_WORDS = (10, 32, *range(0x80, 0xA1), 0xAD)
 
 
 def tokenizer_path() -> str:
@@ -21,75 +36,133 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-class PieceEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, equal to what the library gives for each whole text.
+class Pieces:
+    """The ids of numbered pieces, one after the other."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+        self.begins = sizes.cumsum() - sizes
+
+    def take(self, which: np.ndarray) -> Pieces:
+        """The pieces of the given numbers, in that order."""
+        sizes = self.sizes[which]
+        ends = sizes.cumsum()
+        total = int(ends[-1]) if len(ends) else 0
+        return Pieces(self.ids[np.repeat(self.begins[which] - (ends - sizes), sizes) + np.arange(total)], sizes)
 
-    The vocabulary's pre-tokenizer lets a token span a space only as its first character, and no token crosses a space
-    that has a non-space on both sides. Texts are therefore cut before such spaces and only distinct pieces reach the
-    library. Texts with other runs of white space are cut at the safe places alone."""
+    def joined(self, groups: np.ndarray) -> Pieces:
+        """Neighbouring pieces made one: groups gives the number of pieces in each."""
+        ends = np.concatenate([[0], self.sizes.cumsum()])[np.concatenate([[0], groups.cumsum()])]
+        return Pieces(self.ids, np.diff(ends))
+
+    @staticmethod
+    def together(*parts: Pieces) -> Pieces:
+        return Pieces(np.concatenate([p.ids for p in parts]), np.concatenate([p.sizes for p in parts]))
 
+
+class TextEncoder:
     def __init__(self, path: str, end_id: int | None = END_ID):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}  # by the piece without the space before it
-        self.before: dict[str, bytes] = {}  # the generation before
+        # the same model over text that is byte-mapped already: a word to a line, each line break a token
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split(_BYTE_CHARS[10], "isolated")
+        self.line = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self.marks = self._whole([".", ","])
         self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
 
-    @staticmethod
-    def _cut(text: str) -> tuple[str, list[str]]:
-        """The piece that no space precedes, and the others without theirs."""
-        if _ODD_SPACE.search(text) is None:
-            head, *rest = text.split(" ")
-        else:
-            head, *rest = _SAFE_CUT.split(text)
-            rest = [p[1:] for p in rest]
-        return head, rest
-
-    def _library_ids(self, strings: list[str]) -> list[bytes]:
-        """One call for many strings, each encoded on its own."""
-        out: list[bytes] = []
-        for at in range(0, len(strings), 20_000):
-            part = strings[at : at + 20_000]
-            got = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
-            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part)), side="right") * 4
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    def _whole(self, strings: list[str]) -> Pieces:
+        """Each string by the library."""
+        got = [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+        return Pieces(np.concatenate([np.zeros(0, "<u4"), *got]), np.array([len(g) for g in got], dtype=np.int64))
+
+    def _words(self, words: pa.Array, space: str) -> Pieces:
+        """Runs of letters, each with space before it; by the library's model."""
+        parts = []
+        for at in range(0, len(words), 400):
+            lines = f"\n{space}" + f"\n{space}".join(words[at : at + 400].to_pylist()) + "\n"
+            mapped = lines.encode().decode("latin-1")
+            for byte in _IN_WORDS:
+                mapped = mapped.replace(chr(byte), _BYTE_CHARS[byte])
+            ids = np.array(self.bare.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
+            breaks = np.flatnonzero(ids == self.line)
+            parts.append(Pieces(ids[ids != self.line], np.diff(breaks) - 1))
+        return Pieces.together(Pieces(np.zeros(0, "<u4"), np.zeros(0, np.int64)), *parts)
+
+    def _distinct(self, pieces: pa.Array, space: str) -> Pieces:
+        """Ids of distinct pieces, each with space before it (an empty piece: the space alone)."""
+        plain = pc.match_substring_regex(pieces, _LETTERS).to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(pieces, _MARKED).to_numpy(zero_copy_only=False)
+        stems = pc.utf8_rtrim(pieces.filter(pa.array(plain | marked)), ".,").dictionary_encode()
+        words = self._words(stems.dictionary, space)
+        others = self._whole([space + p for p in pieces.filter(pa.array(~(plain | marked))).to_pylist()])
+        table, n = Pieces.together(words, others, self.marks), len(words.sizes)
+        first = np.zeros(len(pieces), dtype=np.int64)
+        first[plain | marked] = stems.indices.to_numpy()
+        first[~(plain | marked)] = n + np.arange(len(others.sizes))
+        mark = len(table.sizes) - 2 + pc.ends_with(pieces, ",").to_numpy(zero_copy_only=False).astype(np.int64)
+        both = np.stack([first, mark], axis=1)[np.stack([np.ones(len(pieces), bool), marked], axis=1)]
+        return table.take(both).joined(1 + marked.astype(np.int64))
+
+    def encode(self, texts: pa.Array | list) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian uint32; null is an empty text."""
+        array = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(array, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(array)
+        whole = [i for i in np.flatnonzero(odd).tolist()]
+        for at in range(0, len(whole), 100):
+            part = whole[at : at + 100]
+            for i, got in zip(part, self.library.encode_batch_fast([array[i].as_py() for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(got.ids, dtype="<u4").tobytes() + self.end
+        usual = array.filter(pa.array(~odd))
+        if not len(usual):
+            return out
+        lines = pc.split_pattern(usual, "\n")
+        line_at = lines.offsets.to_numpy() - lines.offsets[0].as_py()
+        pieces = pc.split_pattern(lines.flatten(), " ")
+        piece_at = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        flat = pieces.flatten()
+        coded = flat.dictionary_encode()
+        heads = flat.take(pa.array(piece_at[:-1])).dictionary_encode()  # no space goes before these
+        spaced, bare = self._distinct(coded.dictionary, " "), self._distinct(heads.dictionary, "")
+        opened = Pieces(np.array([self.line], dtype="<u4"), np.array([1])).take(np.zeros(len(bare.sizes), np.int64))
+        broken = Pieces.together(opened, bare)
+        k = len(bare.sizes)
+        broken = broken.take(np.stack([np.arange(k), k + np.arange(k)], axis=1).reshape(-1)).joined(np.full(k, 2, np.int64))
+        table = Pieces.together(spaced, bare, broken)
+        which = coded.indices.to_numpy().astype(np.int64)
+        later = np.ones(len(piece_at) - 1, dtype=np.int64)  # lines that a line break goes before
+        later[line_at[:-1]] = 0
+        which[piece_at[:-1]] = len(spaced.sizes) + heads.indices.to_numpy() + k * later
+        found = table.take(which).joined(np.diff(piece_at[line_at]))
+        raw = found.ids.tobytes()
+        for i, a, n in zip(np.flatnonzero(~odd).tolist(), (4 * found.begins).tolist(), (4 * found.sizes).tolist(), strict=True):
+            out[i] = raw[a : a + n] + self.end
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._cut(t) if t else ("", []) for t in texts]
-        heads = [h for h, _ in cut if h]
-        firsts = dict(zip(heads, self._library_ids(heads), strict=True)) | {"": b""}
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        missing = set().union(*[rest for _, rest in cut]) - known.keys()
-        if before:
-            again = missing & before.keys()
-            known.update((p, before[p]) for p in again)
-            missing -= again
-        # a letter, then a final stop or comma: always two tokens' border, so the stem is enough
-        split = {p: p[:-1] for p in missing if p[-1:] in (".", ",") and p[-2:-1].isalpha()}
-        stems = list(((missing - split.keys()) | set(split.values()) | {".", ","}) - known.keys())
-        marks = dict(zip(".,", self._library_ids([".", ","]), strict=True))
-        found = dict(zip(stems, self._library_ids([" " + p for p in stems]), strict=True))
-        for piece, stem in split.items():
-            found[piece] = (found[stem] if stem in found else known[stem]) + marks[piece[-1]]
-        long = {p: found[p] for p in found if len(p) > CACHE_CHARS}
-        known.update(found)
-        out = [firsts[h] + b"".join(map(known.__getitem__, rest)) + self.end for h, rest in cut]
-        for p in long:
-            del known[p]
-        return out
+
+def grouped(batches: Iterator[pa.RecordBatch], column: int, most: int = GROUP_BYTES) -> Iterator[tuple[list, pa.Array]]:
+    """The first column's values and the texts of some batches at a time, about most bytes of text together."""
+    ids: list = []
+    texts: list[pa.Array] = []
+    held = 0
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        texts.append(batch.column(column).cast(pa.large_string()))
+        held += texts[-1].nbytes
+        if held >= most:
+            yield ids, pa.concat_arrays(texts)
+            ids, texts, held = [], [], 0
+    if texts:
+        yield ids, pa.concat_arrays(texts)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def worker_encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and vocabulary, so that its memory lasts from task to task."""
+def worker_encoder(path: str) -> TextEncoder:
+    """One encoder per worker process and vocabulary."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
