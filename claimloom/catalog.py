@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.evidence", "operators.workflow", "operators.texts")
+MODULES = ("operators.evidence", "operators.workflow", "operators.texts", "operators.retrieval", "operators.ingest")
 
 
 def _collect(kind: str) -> dict:

@@ -1,0 +1,248 @@
+"""From raw messages to claims: prefilter, extraction checks, duplicate links, learned review gate."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as X
+from ..plans.tables import read
+from ..session import ship_package
+from .texts import question_sql, tokens_sql
+
+#: Fixed values of the prefilter.
+MIN_CHARS, MAX_CHARS, THRESHOLD = 25, 4000, 2
+ALLOWED_TYPES, CATEGORIES, DEFAULT_CATEGORY = ("fact", "tip", "procedure"), ("content", "economy", "general"), "general"
+CLAIMS_SCHEMA = "claims array<struct<statement: string, type: string, category: string, source_ids: array<string>, quotes: array<string>, version_hint: string>>"
+
+
+def prefilter(messages: DataFrame) -> DataFrame:
+    """messages (text, author_tier, alias_hits, entity_hits, is_reply_to_question) with decision, score."""
+    text = X.strip_noise(F.col("text"))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    numeric = X.has_unit(text) | F.exists(X.tokens(text), lambda t: t.rlike(r"^\d+$"))
+    score = (
+        F.when(F.col("entity_hits") > 0, 2).when(F.col("alias_hits") > 0, 1).otherwise(0) + F.when(numeric, 1).otherwise(0)
+        + F.when(F.col("is_reply_to_question"), 1).otherwise(0) + F.when(F.col("author_tier") >= 3, 2).otherwise(0)
+    )
+    gate = F.when(letters < 3, "no_text").when(F.length(text) > MAX_CHARS, "too_long").when(X.is_question(text), "question").when(F.length(text) < MIN_CHARS, "too_short")
+    decision = F.when(gate.isin("no_text", "too_short"), "drop").when(gate.isNotNull(), "context").when(score >= THRESHOLD, "candidate").otherwise("context")
+    return messages.withColumn("decision", decision).withColumn("score", F.when(gate.isNull(), score).otherwise(0))
+
+
+def _messages(spark, d):
+    c = read(spark, d, "conversations")
+    tier = F.when(F.col("role") == "system", 4).when(F.col("role") == "assistant", 3).otherwise(2)
+    return c.select("conv_id", "turn", "role", "text", tier.alias("author_tier"), (F.col("conv_id") % 3).alias("alias_hits"), F.when(F.col("conv_id") % 7 == 0, 1).otherwise(0).alias("entity_hits"), (F.col("turn") % 2 == 1).alias("is_reply_to_question"))
+
+
+def prefilter_decision(spark, d):
+    return prefilter(_messages(spark, d)).select("conv_id", "turn", "decision", "score")
+
+
+def home_policy(spark, d):
+    """What a home channel's mode does with a message before the prefilter."""
+    m = _messages(spark, d)
+    mode = F.element_at(F.array(F.lit("auto"), F.lit("explicit_only"), F.lit("off")), (F.col("conv_id") % 3 + 1).cast("int"))
+    return m.select("conv_id", "turn", F.when(mode == "off", "skipped").when((mode == "explicit_only") & ~F.startswith("text", F.lit("L")), "skipped").when(F.col("author_tier") < 3, "low_tier").otherwise("ingest").alias("policy"))
+
+
+def model_output(spark: SparkSession, d: str) -> DataFrame:
+    """A table of extraction outputs (JSON in code fences for some), as a model would give them for the documents."""
+    doc = read(spark, d, "documents").select("doc_id", "text")
+    statement = F.when(F.col("doc_id") % 11 == 0, "short").when(F.col("doc_id") % 13 == 0, F.concat(F.lit("see http://x.y "), F.substring("text", 1, 40))).when(F.col("doc_id") % 17 == 0, F.concat(F.substring("text", 1, 60), F.lit(" 987654"))).otherwise(F.substring("text", 1, 80))
+    quote = F.when(F.col("doc_id") % 19 == 0, "not in the source at all").otherwise(F.substring("text", 5, 50))
+    kind = F.when(F.col("doc_id") % 23 == 0, "opinion").otherwise("fact")
+    source = F.when(F.col("doc_id") % 29 == 0, "S9").otherwise("S1")
+    claim = F.struct(statement.alias("statement"), kind.alias("type"), F.element_at(F.array(F.lit("content"), F.lit("weather")), (F.col("doc_id") % 2 + 1).cast("int")).alias("category"), F.array(source).alias("source_ids"), F.array(quote).alias("quotes"))
+    body = F.to_json(F.struct(F.array(claim).alias("claims")))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 31 == 0, "[]").otherwise(body)
+    return doc.select("doc_id", "text", raw.alias("raw"))
+
+
+def parse_output(raw):
+    """The claims of a model's answer: code fences off, an object at the top, else null."""
+    bare = F.trim(F.regexp_replace(raw, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    return F.when(F.startswith(bare, F.lit("{")), F.from_json(bare, CLAIMS_SCHEMA))
+
+
+def validate(outputs: DataFrame) -> DataFrame:
+    """outputs (doc_id, text of source S1, raw) as one row per claim with its first broken rule, or null if valid."""
+    c = outputs.select("doc_id", F.col("text").alias("source"), F.posexplode(F.col("parsed.claims")).alias("index", "c"))
+    statement = F.array_join(F.filter(F.split(F.col("c.statement"), r"\s+"), lambda w: w != ""), " ")
+    known = F.array_contains("c.source_ids", "S1")
+    source = X.normalize(F.col("source"))
+    quoted = F.exists("c.quotes", lambda q: (F.length(X.normalize(q)) >= 6) & F.contains(F.col("sn"), X.normalize(q)))
+    missing = F.array_except(X.numbers(F.col("s")), X.numbers(F.col("source")))
+    c = c.withColumn("s", statement).withColumn("sn", source)
+    rule = (
+        F.when(~F.col("c.type").isin(*ALLOWED_TYPES), "V7_type").when(~F.length("s").between(10, 400), "V6_length")
+        .when(F.contains("s", F.lit("<@")) | F.contains("s", F.lit("<#")) | (F.contains("s", F.lit("http")) & ~(known & F.contains("source", F.lit("http")))), "V6_links")
+        .when(~known, "V2_sources").when(~quoted, "V3_quotes").when(F.size(missing) > 0, "V8_numbers")
+    )
+    category = F.when(F.col("c.category").isin(*CATEGORIES), F.col("c.category")).otherwise(DEFAULT_CATEGORY)
+    return c.select("doc_id", "index", F.col("s").alias("statement"), rule.alias("rule"), category.alias("category"))
+
+
+def validate_claims(spark, d):
+    out = model_output(spark, d).withColumn("parsed", parse_output(F.col("raw")))
+    return validate(out).select("doc_id", F.md5("statement").alias("statement_md5"), "rule", "category")
+
+
+def extraction_report(spark, d):
+    """Claims by first broken rule, and outputs that do not parse."""
+    out = model_output(spark, d).withColumn("parsed", parse_output(F.col("raw")))
+    rules = validate(out).groupBy(F.coalesce("rule", F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return rules.unionByName(out.where("parsed IS NULL").groupBy(F.lit("bad_output").alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def quote_found(spark, d):
+    """Which benchmark passages stand in which documents, after normalisation.
+
+    Candidates share a rare 4-word shingle (the least by hash of the passage); only those texts are searched."""
+    b = read(spark, d, "benchmark").select("item_id", X.normalize(F.col("text")).alias("q"))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, 4), " ")))
+    b = b.withColumn("key", F.array_min(grams(F.split("q", " "))))
+    t = read(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    keys = t.select("doc_id", F.explode(F.array_distinct(grams(F.col("t")))).alias("key"))
+    hits = keys.join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    return hits.join(t.select("doc_id", F.array_join("t", " ").alias("s")), "doc_id").join(b.select("item_id", "q"), "item_id").where((F.length("q") >= 6) & F.contains("s", F.col("q"))).select("doc_id", "item_id")
+
+
+def indel_ratio(a: str, b: str) -> float:
+    """The best share of matching characters, in percent, of the shorter string and a window of the longer as long."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 0.0
+    m, best = len(short), 0.0
+    codes = np.array([ord(c) for c in short])
+    windows = range(0, len(long) - m + 1) if len(long) > m else (0,)
+    for start in windows:
+        part = long[start : start + m]
+        row = np.zeros(m + 1, dtype=np.int32)
+        for c in part:  # longest common subsequence, a row at a time
+            new = np.maximum(row[1:], row[:-1] + (codes == ord(c)))
+            row[1:] = np.maximum.accumulate(new)
+        best = max(best, 200.0 * row[-1] / (m + len(part)))
+        if best == 100.0:
+            break
+    return best
+
+
+def quote_fuzzy(spark, d):
+    """Fuzzy quotes: the first 24 letters of a turn, two of them altered, against the turn's first 160."""
+    ship_package(spark)
+    c = read(spark, d, "conversations").where("role = 'user' AND conv_id % 5 = 0")
+    n = X.normalize(F.col("text"))
+    q = c.select("conv_id", "turn", F.translate(F.substring(n, 5, 24), "z", "q").alias("q"), F.substring(n, 1, 160).alias("s")).where(F.length("q") >= 6)
+
+    def score(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([indel_ratio(x, y) >= 90.0 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])], names=["conv_id", "turn", "found"])
+
+    return q.mapInArrow(score, "conv_id long, turn long, found boolean")
+
+
+def duplicate_statement_merge(spark, d):
+    """Claims of equal normalised statement become one: the smallest id, with the number merged and their sources."""
+    t = read(spark, d, "documents").select("doc_id", "source", F.md5(X.normalize(F.col("text"))).alias("norm"))
+    return t.groupBy("norm").agg(F.min("doc_id").alias("claim_id"), F.count(F.lit(1)).alias("n_evidence"), F.count_distinct("source").alias("n_groups"))
+
+
+def conflict_components(spark, d):
+    """Contradiction edges grouped into conflicts: the least claim of each component, by labels that spread."""
+    o = read(spark, d, "orders").where("o_orderkey % 23 = 0").select(F.col("o_orderkey").alias("a"), "o_custkey")
+    edges = o.join(o.withColumnRenamed("a", "b"), "o_custkey").where("a <> b").select("a", "b")
+    label = edges.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("conflict_id"))
+    return label.select(F.col("a").alias("claim_id"), "conflict_id")
+
+
+def gate_features(spark, d):
+    """Features and label of each moderated document: four bounded ratios."""
+    j = read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id")
+    n = F.length("text")
+    up = n - F.length(F.regexp_replace("text", r"[A-Z]", ""))
+    sym = n - F.length(F.regexp_replace("text", r"[|!%$#*&]", ""))
+    return j.select("doc_id", "quality", F.round(F.least(n, F.lit(400)) / 400, 6).alias("x_len"), F.round(up / F.greatest(n, F.lit(1)), 6).alias("x_upper"), F.round(sym / F.greatest(n, F.lit(1)), 6).alias("x_symbol"), F.round(F.least(F.size(F.split("text", "\n")), F.lit(20)) / 20, 6).alias("x_lines"))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.5, l2: float = 1e-3) -> tuple:
+    """Standardised logistic regression by gradient descent: mean, std, weights, bias."""
+    mean, std = x.mean(axis=0), x.std(axis=0)
+    std = np.where(std > 0, std, 1.0)
+    z, w, b = (x - mean) / std, np.zeros(x.shape[1]), 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30)))
+        w -= rate * (z.T @ (p - y) / len(y) + l2 * w)
+        b -= rate * float((p - y).mean())
+    return mean, std, w, b
+
+
+def gate_model(features: np.ndarray, labels: np.ndarray, target: float = 0.95, support: int = 10) -> dict:
+    """Fits on the first four fifths, sets keep and reject thresholds on the rest for the target precision, fits on all.
+
+    Thresholds are clamped to at least 0.8 and at most 0.2; without enough support on a side there is none."""
+    cut = int(0.8 * len(labels))
+    mean, std, w, b = fit_logistic(features[:cut], labels[:cut])
+    p = 1 / (1 + np.exp(-np.clip((features[cut:] - mean) / std @ w + b, -30, 30)))
+    y, keep, reject = labels[cut:], None, None
+    for t in np.unique(p)[::-1]:
+        if (p >= t).sum() >= support and y[p >= t].mean() >= target:
+            keep = float(t)
+    for t in np.unique(p):
+        if (p <= t).sum() >= support and (1 - y[p <= t]).mean() >= target:
+            reject = float(t)
+    keep, reject = (max(keep, 0.8) if keep is not None else None), (min(reject, 0.2) if reject is not None else None)
+    if keep is not None and reject is not None and reject >= keep:
+        reject = None
+    mean, std, w, b = fit_logistic(features, labels)
+    return {"mean": mean.tolist(), "std": std.tolist(), "weights": w.tolist(), "bias": float(b), "keep": keep, "reject": reject}
+
+
+def gate_decisions(spark, d, fit_rows: int = 20_000):
+    """A gate learned from at most fit_rows labels (the first by id), then auto-keep, auto-reject or ask, natively."""
+    f = gate_features(spark, d)
+    names = ["x_len", "x_upper", "x_symbol", "x_lines"]
+    rows = f.orderBy("doc_id").limit(fit_rows).collect()
+    m = gate_model(np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(-1, 4), np.array([r["quality"] for r in rows], dtype=float)) if len(rows) > 10 else {"mean": [0] * 4, "std": [1] * 4, "weights": [0] * 4, "bias": 0.0, "keep": None, "reject": None}
+    z = sum(((F.col(n) - F.lit(mu)) / F.lit(sd) * F.lit(w) for n, mu, sd, w in zip(names, m["mean"], m["std"], m["weights"], strict=True)), F.lit(m["bias"]))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+    decision = F.when(p >= F.lit(m["keep"] if m["keep"] is not None else 2.0), "keep").when(p <= F.lit(m["reject"] if m["reject"] is not None else -1.0), "reject").otherwise("ask")
+    return f.select("doc_id", F.round(p, 6).alias("probability"), decision.alias("decision"))
+
+
+def eval_json_report(spark, d):
+    """The extraction report as one JSON object."""
+    r = extraction_report(spark, d).groupBy().agg(F.array_sort(F.collect_list(F.struct("outcome", "n"))).alias("r"))
+    return r.select(F.to_json(F.map_from_entries("r")).alias("report"))
+
+
+QUERIES = {f.__name__: f for f in (prefilter_decision, home_policy, validate_claims, extraction_report, quote_found, quote_fuzzy, duplicate_statement_merge, conflict_components, gate_features, gate_decisions, eval_json_report)}
+
+_N = lambda c: f"list_distinct(list_transform(regexp_extract_all({c}, '\\d+(?:[.,]\\d+)?'), lambda n: replace(n, ',', '.')))"
+_NORM = lambda c: f"coalesce(array_to_string({tokens_sql(c)}, ' '), '')"
+_CLEAN = r"trim(regexp_replace(regexp_replace(text, 'https?://\S+', ' ', 'g'), '<[@#][!&]?\d+>|<a?:\w+:\d+>', ' ', 'g'))"
+_UNIT_SQL = r"regexp_matches(t, '(?i)\b\d+(?:[.,]\d+)?\s*(?:%|h|hr|hrs|m|min|mins|s|sec|k|kk|x|lvl|level|ώρες|λεπτά|lepta|wres)\b')"
+_VALID = f"""(WITH o AS (SELECT doc_id, text, CASE WHEN doc_id % 11 = 0 THEN 'short' WHEN doc_id % 13 = 0 THEN 'see http://x.y ' || left(text, 40) WHEN doc_id % 17 = 0 THEN left(text, 60) || ' 987654' ELSE left(text, 80) END AS st,
+  CASE WHEN doc_id % 19 = 0 THEN 'not in the source at all' ELSE substr(text, 5, 50) END AS quote FROM documents WHERE doc_id % 3 = 0 OR doc_id % 31 <> 0),
+s AS (SELECT *, trim(regexp_replace(st, '\\s+', ' ', 'g')) AS s FROM o), n AS (SELECT *, {_NORM('text')} AS sn, {_NORM('quote')} AS qn, {_N('s')} AS nums, {_N('text')} AS src FROM s)
+SELECT doc_id, s, CASE WHEN doc_id % 23 = 0 THEN 'V7_type' WHEN length(s) NOT BETWEEN 10 AND 400 THEN 'V6_length' WHEN contains(s, '<@') OR contains(s, '<#') OR (contains(s, 'http') AND NOT (doc_id % 29 <> 0 AND contains(text, 'http'))) THEN 'V6_links'
+  WHEN doc_id % 29 = 0 THEN 'V2_sources' WHEN NOT (length(qn) >= 6 AND contains(sn, qn)) THEN 'V3_quotes' WHEN len(list_filter(nums, lambda x: NOT list_contains(src, x))) > 0 THEN 'V8_numbers' END AS rule,
+  CASE WHEN doc_id % 2 = 0 THEN 'content' ELSE 'general' END AS category FROM n)"""
+_REPORT = f"(SELECT coalesce(rule, 'valid') AS outcome, count(*) AS n FROM {_VALID} GROUP BY 1 UNION ALL SELECT 'bad_output', count(*) FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 31 = 0 HAVING count(*) > 0)"
+ORACLES = {
+    "prefilter_decision": f"""WITH m AS (SELECT conv_id, turn, {_CLEAN} AS t, CASE role WHEN 'system' THEN 4 WHEN 'assistant' THEN 3 ELSE 2 END AS tier FROM conversations),
+g AS (SELECT *, CASE WHEN length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) < 3 THEN 'no_text' WHEN length(t) > 4000 THEN 'too_long' WHEN {question_sql('t')} THEN 'question' WHEN length(t) < 25 THEN 'too_short' END AS gate,
+  CASE WHEN conv_id % 7 = 0 THEN 2 WHEN conv_id % 3 > 0 THEN 1 ELSE 0 END + CASE WHEN {_UNIT_SQL} OR len(list_filter({tokens_sql('t')}, lambda x: regexp_matches(x, '^\\d+$'))) > 0 THEN 1 ELSE 0 END + CASE WHEN turn % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN tier >= 3 THEN 2 ELSE 0 END AS s FROM m)
+SELECT conv_id, turn, CASE WHEN gate IN ('no_text', 'too_short') THEN 'drop' WHEN gate IS NOT NULL THEN 'context' WHEN s >= 2 THEN 'candidate' ELSE 'context' END AS decision, CASE WHEN gate IS NULL THEN s ELSE 0 END AS score FROM g""",
+    "home_policy": "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 2 THEN 'skipped' WHEN conv_id % 3 = 1 AND NOT starts_with(text, 'L') THEN 'skipped' WHEN role = 'user' THEN 'low_tier' ELSE 'ingest' END AS policy FROM conversations",
+    "validate_claims": f"SELECT doc_id, md5(s) AS statement_md5, rule, category FROM {_VALID}",
+    "extraction_report": f"SELECT outcome, n FROM {_REPORT}",
+    "quote_found": f"WITH b AS (SELECT item_id, {_NORM('text')} AS q FROM benchmark), t AS (SELECT doc_id, {_NORM('text')} AS s FROM documents) SELECT doc_id, item_id FROM t JOIN b ON contains(s, q) WHERE length(q) >= 6",
+    "duplicate_statement_merge": f"SELECT md5({_NORM('text')}) AS norm, min(doc_id) AS claim_id, count(*) AS n_evidence, count(DISTINCT source) AS n_groups FROM documents GROUP BY 1",
+    "conflict_components": "WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders WHERE o_orderkey % 23 = 0) SELECT k AS claim_id, min(k) OVER (PARTITION BY c) AS conflict_id FROM o QUALIFY count(*) OVER (PARTITION BY c) > 1",
+    "gate_features": r"""SELECT doc_id, quality, round(least(length(text), 400)::DOUBLE / 400, 6) AS x_len, round((length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::DOUBLE / greatest(length(text), 1), 6) AS x_upper,
+round((length(text) - length(regexp_replace(text, '[|!%$#*&]', '', 'g')))::DOUBLE / greatest(length(text), 1), 6) AS x_symbol, round(least(len(string_split(text, chr(10))), 20)::DOUBLE / 20, 6) AS x_lines FROM labels JOIN documents USING (doc_id)""",
+    "eval_json_report": f"SELECT '{{' || string_agg('\"' || outcome || '\":' || n, ',' ORDER BY outcome) || '}}' AS report FROM {_REPORT}",
+}
