@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,3 +43,17 @@ def ship_package(spark: SparkSession) -> None:
     target.write_bytes(raw.getvalue())
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
+
+
+_LOCAL: list[str] = []
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that the cluster names in spark.checkpoint.dir (a temporary one where that is unset)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="claimloom-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        base = f"file://{_LOCAL[0]}"
+    return f"{base}/claimloom/{uuid.uuid4().hex}-{label}"
