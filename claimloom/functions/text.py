@@ -132,7 +132,7 @@ def is_question(c: Column) -> Column:
 
 def teach_prefix(c: Column) -> Column:
     """What follows a teaching prefix, or null."""
-    pattern = "(?is)^(?:" + "|".join(map(re.escape, TEACH_PREFIXES)) + r")\s*(.*)$"
+    pattern = "(?isu)^(?:" + "|".join(map(re.escape, TEACH_PREFIXES)) + r")\s*(.*)$"
     return F.when(F.trim(c).rlike(pattern), F.trim(F.regexp_extract(F.trim(c), pattern, 1)))
 
 
