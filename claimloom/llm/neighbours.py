@@ -29,6 +29,9 @@ FIT_ROWS, TREES, LEAF, SEED = 20_000, 8, 160, 11
 #: A query's leaves hold this share of all vectors (counted once a tree), and at least so many. The share is what recall
 #: over 0.9 takes on vectors that fill the sphere evenly, which no index can prune; clustered ones do with far less.
 LOOK_SHARE, LOOK_LEAST = 0.9, 6000
+#: Rows of the best so far that a task holds before it passes them on.
+HELD_ROWS = 1_000_000
+FOUND = np.dtype([("query", np.int64), ("entry", np.int64), ("score", np.float64)])
 
 
 class Tree:
@@ -151,25 +154,59 @@ def nearest(vectors: DataFrame, is_query, k: int = K, fit_rows: int = FIT_ROWS,
                 yield pa.RecordBatch.from_arrays([pa.array(places[:, 0]), pa.array(places[:, 1]), batch.column(0).take(pick), batch.column(1).take(pick)], names=["tree", "leaf", "entry", "v"])
 
     fields = f"tree int, leaf int, entry long, v {kind}"
-    stored = entries.select("entry", "v").mapInArrow(descend, fields)
-    visits = queries.mapInArrow(search, fields)
-
-    def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """The k+1 nearest entries of one leaf to each query that reached it."""
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            ids = right.column("entry").to_numpy()
-            v = right.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dims)
-            q = left.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dims)
-            for query, one in zip(left.column("entry").to_pylist(), q, strict=True):
-                d = np.sqrt(((v - one) ** 2).sum(axis=1))
-                best = np.lexsort((ids, d))[: k + 1]
-                out[0] += [query] * len(best)
-                out[1] += ids[best].tolist()
-                out[2] += d[best].tolist()
-        return pa.table({"query": pa.array(out[0], pa.int64()), "entry": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = visits.groupBy("tree", "leaf").cogroup(stored.groupBy("tree", "leaf")).applyInArrow(compare, "query long, entry long, score double")
+    stored = entries.select("entry", "v").mapInArrow(descend, fields).withColumn("side", F.lit(1))
+    visits = queries.mapInArrow(search, fields).withColumn("side", F.lit(0))
+    # a leaf's queries come before its vectors, these by id
+    met = visits.unionByName(stored).repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "side", "entry")
+
+    def pruned(parts: list[np.ndarray]) -> np.ndarray:
+        """The k+1 nearest distinct entries of each query among rows (query, entry, distance)."""
+        every = np.concatenate([np.zeros(0, FOUND), *parts])
+        every = every[np.lexsort((every["entry"], every["score"], every["query"]))]
+        fresh = np.ones(len(every), dtype=bool)
+        fresh[1:] = (every["query"][1:] != every["query"][:-1]) | (every["entry"][1:] != every["entry"][:-1])
+        every = every[fresh]
+        return every[np.arange(len(every)) - np.searchsorted(every["query"], every["query"]) <= k]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k+1 nearest entries that this task's leaves hold to each query that reached one of them."""
+
+        def rows(found: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[n])) for n in FOUND.names], names=list(FOUND.names))
+
+        place, held, size = None, [], 0
+        ids, q = [np.zeros(0, np.int64)], [np.zeros((0, dims))]
+        for batch in batches:
+            tree, leaf, entry, side = (batch.column(n).to_numpy() for n in ("tree", "leaf", "entry", "side"))
+            v = batch.column("v").flatten().to_numpy().astype(np.float64).reshape(-1, dims)
+            cuts = np.flatnonzero((np.diff(tree) != 0) | (np.diff(leaf) != 0) | (np.diff(side) != 0)) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tree)], strict=True):
+                if place != (tree[a], leaf[a]):
+                    place, ids, q = (tree[a], leaf[a]), [], []
+                if side[a] == 0:
+                    ids.append(entry[a:z])
+                    q.append(v[a:z])
+                    continue
+                if not ids:
+                    continue
+                asked_ids, asked_v = np.concatenate(ids), np.concatenate(q)
+                step = max(1, 4_000_000 // ((z - a) * dims))
+                for at in range(0, len(asked_ids), step):
+                    d = np.sqrt(((asked_v[at : at + step, None, :] - v[None, a:z, :]) ** 2).sum(axis=2))
+                    best = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+                    out = np.zeros(best.size, FOUND)
+                    out["query"], out["entry"], out["score"] = np.repeat(asked_ids[at : at + step], best.shape[1]), entry[a:z][best].reshape(-1), np.take_along_axis(d, best, axis=1).reshape(-1)
+                    held.append(out)
+                    size += len(out)
+                if size > 2 * HELD_ROWS:
+                    held = [pruned(held)]
+                    size = len(held[0])
+                    if size > HELD_ROWS:
+                        yield rows(held[0])
+                        held, size = [], 0
+        yield rows(pruned(held))
+
+    found = met.mapInArrow(compare, "query long, entry long, score double")
     found = found.groupBy("query", "entry").agg(F.min("score").alias("score"))
     found = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "entry"))).where(F.col("n") <= k + 1)
     rows = found.join(entries.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
