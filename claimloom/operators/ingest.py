@@ -111,35 +111,36 @@ def quote_found(spark, d):
 
 
 def indel_ratio(a: str, b: str) -> float:
-    """The best share of matching characters, in percent, of the shorter string and a window of the longer as long."""
+    """The best share of matching characters, in percent, of the shorter string and a window of the longer as long.
+
+    The longest common subsequence of all windows at once: a NumPy row per window, a step per character."""
     short, long = sorted((a, b), key=len)
     if not short:
         return 0.0
-    m, best = len(short), 0.0
-    codes = np.array([ord(c) for c in short])
-    windows = range(0, len(long) - m + 1) if len(long) > m else (0,)
-    for start in windows:
-        part = long[start : start + m]
-        row = np.zeros(m + 1, dtype=np.int32)
-        for c in part:  # longest common subsequence, a row at a time
-            new = np.maximum(row[1:], row[:-1] + (codes == ord(c)))
-            row[1:] = np.maximum.accumulate(new)
-        best = max(best, 200.0 * row[-1] / (m + len(part)))
-        if best == 100.0:
-            break
-    return best
+    m = len(short)
+    codes, other = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (short, long))
+    windows = np.lib.stride_tricks.sliding_window_view(other, m)
+    best = 0
+    for at in range(0, len(windows), 4096):
+        part = windows[at : at + 4096]
+        row = np.zeros((len(part), m + 1), dtype=np.int16)
+        for j in range(m):
+            new = np.maximum(row[:, 1:], row[:, :-1] + (codes == part[:, j, None]))
+            row[:, 1:] = np.maximum.accumulate(new, axis=1)
+        best = max(best, int(row[:, -1].max()))
+    return 100.0 * best / m
 
 
 def quote_fuzzy(spark, d):
-    """Fuzzy quotes: the first 24 letters of a turn, two of them altered, against the turn's first 160."""
+    """Fuzzy quotes: an altered piece of every user turn against the whole turn."""
     ship_package(spark)
-    c = read(spark, d, "conversations").where("role = 'user' AND conv_id % 5 = 0")
+    c = read(spark, d, "conversations").where("role = 'user'")
     n = X.normalize(F.col("text"))
-    q = c.select("conv_id", "turn", F.translate(F.substring(n, 5, 24), "z", "q").alias("q"), F.substring(n, 1, 160).alias("s")).where(F.length("q") >= 6)
+    q = c.select("conv_id", "turn", F.translate(F.substring(n, 5, 24), "ei", "xq").alias("q"), n.alias("s")).where(F.length("q") >= 6)
 
     def score(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([indel_ratio(x, y) >= 90.0 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])], names=["conv_id", "turn", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([indel_ratio(x, y) >= 90.0 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())], names=["conv_id", "turn", "found"])
 
     return q.mapInArrow(score, "conv_id long, turn long, found boolean")
 
