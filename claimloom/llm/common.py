@@ -86,6 +86,8 @@ def map_texts(df: DataFrame, text: str, fields: str, make: Callable[[], Callable
             results = work(batch.column(batch.num_columns - 1).to_pylist())
             arrays = list(batch.columns[:-1]) + [pa.array(r, type=f.type) if not isinstance(r, pa.Array) else r for r, f in zip(results, list(out)[len(keep) :], strict=True)]
             yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, out, strict=True)], names=out.names)
+            del batch, results, arrays
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

@@ -95,7 +95,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = mixture(docs, extra=keys, **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int")
     plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("__text")).agg(F.max(times).alias("__times"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (F.xxhash64(docs["text"]) == F.col("__text")))
+    joined = docs.join(plan.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (F.xxhash64(docs["text"]) == F.col("__text")))
     return joined.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*[docs[c] for c in docs.columns])
 
 

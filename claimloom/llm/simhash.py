@@ -157,19 +157,28 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, keep: list[str], words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns keep of every row with fp (signed 64 bits), component_id (the smallest id reachable
-    by links) and root (the smallest fingerprint of the component)."""
+def fingerprinted(docs: DataFrame, keep: list[str], words: int = WORDS, text_col: str = "text") -> DataFrame:
+    """The columns keep of every row with fp (signed 64 bits), written."""
 
     def make():
         return lambda texts: [[fingerprint(t, words) for t in texts]]
 
-    marked = materialize(map_texts(docs, text_col, "fp long", make, list(dict.fromkeys([*keep, id_col]))), "fingerprints")
+    return materialize(map_texts(docs, text_col, "fp long", make, keep), "fingerprints")
+
+
+def fingerprint_components(marked: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
+    """fp, component_id (the smallest id reachable by links) and root (the smallest fingerprint of the component)."""
     distinct = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
     roots = components(links_within(distinct.select("fp"), radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = materialize(rooted.join(least, "root").select(F.col("fp").alias("__fp"), "component_id", "root"), "components")
+    return materialize(rooted.join(least, "root").select("fp", "component_id", "root"), "components")
+
+
+def near_duplicates(docs: DataFrame, keep: list[str], words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns keep of every row with fp, component_id and root."""
+    marked = fingerprinted(docs, list(dict.fromkeys([*keep, id_col])), words, text_col)
+    of = fingerprint_components(marked, radius, id_col).withColumnRenamed("fp", "__fp")
     return marked.join(of, marked["fp"] == of["__fp"]).drop("__fp")
 
 

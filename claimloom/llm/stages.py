@@ -6,7 +6,7 @@ repeats one, null ids last); empty inputs give empty outputs; further columns of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import language, mixing, packing, rules, simhash
 from .common import id_hash_mod, load
@@ -26,13 +26,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
-    marked = simhash.near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("__h")), ["doc_id", "__h"])
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__h").alias("h")))
-    chosen = marked.groupBy("root").agg(first.alias("w")).select(F.col("w.id").alias("__id"), F.col("w.h").alias("__h"))
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]))
-    return kept.withColumn("__n", nth).where("__n = 1").select(*docs.columns)
+    """Keeps one document of each near-duplicate group.
+
+    Rows are numbered and written with their fingerprints once; groups are decided on numbers alone, and the rows that
+    stay are picked by a hash join that neither sorts nor gathers texts."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    marked = simhash.fingerprinted(rows.select("*", F.col("text").alias("__read")), [*docs.columns, "__row"], text_col="__read")
+    of = simhash.fingerprint_components(marked)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
+    chosen = marked.select("doc_id", "__row", "fp").join(of.select("fp", "root"), "fp").groupBy("root").agg(first.alias("w")).select(F.col("w.row").alias("__row"))
+    return marked.join(chosen.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
