@@ -157,13 +157,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def fingerprinted(docs: DataFrame, keep: list[str], words: int = WORDS, text_col: str = "text") -> DataFrame:
-    """The columns keep of every row with fp (signed 64 bits), written."""
+def fingerprinted(docs: DataFrame, keep: list[str], words: int = WORDS, text_col: str = "text", name: str = "fp") -> DataFrame:
+    """The columns keep of every row with its fingerprint (signed 64 bits) in column name, written."""
 
     def make():
         return lambda texts: [[fingerprint(t, words) for t in texts]]
 
-    return materialize(map_texts(docs, text_col, "fp long", make, keep), "fingerprints")
+    return materialize(map_texts(docs, text_col, f"{name} long", make, keep), "fingerprints")
 
 
 def fingerprint_components(marked: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
