@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from ..session import ship_package
 
-#: Rows that one Arrow batch carries to a Python worker; texts may be long.
-BATCH_ROWS = 1000
+#: Rows and bytes that one Arrow batch carries to a Python worker; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 _LOCAL: list[str] = []
 
 
@@ -57,6 +57,7 @@ def small_batches(spark: SparkSession) -> None:
     """Readies Python workers: sends the package and bounds what they hold at once. Session-wide; results never change."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
