@@ -70,27 +70,25 @@ def arrow_schema(ddl: str) -> pa.Schema:
 def map_texts(df: DataFrame, text: str, fields: str, make: Callable[[], Callable[[list], list]], keep: list[str]) -> DataFrame:
     """Adds the columns of the DDL string fields, computed from whole texts, to the columns keep of every row.
 
-    make() runs once a partition and returns a function from a list of texts (None for null) to one list or Arrow
-    array per field. Rows are neither joined nor dropped, so null or repeated ids need no care."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    make() runs once a task and returns a function from a list of texts (None for null) to one list or array per field.
+    Rows are neither joined nor dropped, so null or repeated ids need no care; only the texts go to Python and only the
+    results come back. The function counts as non-deterministic so that filters on its results do not run it twice."""
     small_batches(df.sparkSession)
     added = T.StructType.fromDDL(fields)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], *added.fields])
-
-    out = to_arrow_schema(schema)
+    types = [f.type for f in arrow_schema(fields)]
+    names = [f.name for f in added.fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = make()
         for batch in batches:
-            results = work(batch.column(batch.num_columns - 1).to_pylist())
-            arrays = list(batch.columns[:-1]) + [pa.array(r, type=f.type) if not isinstance(r, pa.Array) else r for r, f in zip(results, list(out)[len(keep) :], strict=True)]
-            yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, out, strict=True)], names=out.names)
-            del batch, results, arrays
+            results = [pa.array(r, type=t) for r, t in zip(work(batch.to_pylist()), types, strict=True)]
+            yield pa.StructArray.from_arrays(results, names=names)
+            del batch, results
             pa.default_memory_pool().release_unused()
 
-    return source.mapInArrow(run, schema)
+    made = F.arrow_udf(run, added).asNondeterministic()
+    kept = [F.col(f"`{c}`") for c in keep]
+    return df.select(*kept, made(F.col(f"`{text}`")).alias("__made")).select(*kept, *[F.col("__made").getField(n).alias(n) for n in names])
 
 
 def id_hash_mod(column: str, n: int):

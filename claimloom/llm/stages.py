@@ -31,7 +31,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are numbered and written with their fingerprints once; groups are decided on numbers alone, and the rows that
     stay are picked by a hash join that neither sorts nor gathers texts."""
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    marked = simhash.fingerprinted(rows.select("*", F.col("text").alias("__read")), [*docs.columns, "__row"], text_col="__read", name="__fp")
+    marked = simhash.fingerprinted(rows, [*docs.columns, "__row"], name="__fp")
     of = simhash.fingerprint_components(marked.select("doc_id", F.col("__fp").alias("fp")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
     chosen = marked.select("doc_id", "__row", F.col("__fp").alias("fp")).join(of.select("fp", "root"), "fp").groupBy("root").agg(first.alias("w")).select(F.col("w.row").alias("__row"))

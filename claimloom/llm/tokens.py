@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of text that are encoded at once.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20
 
 #: White space in the widest sense that is not a single space or line break.
 _ODD_SPACE = r"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
