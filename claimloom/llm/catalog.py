@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import licenses, mixing
 from .html_text import op2_html_extraction
 from .language import op10_language_id
 from .licenses import op6_license_scan
@@ -15,4 +15,4 @@ from .simhash import op4_simhash_near_dedup
 from .token_codes import op8_token_codes
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_extraction, op3_nearest_neighbours, op4_simhash_near_dedup, op5_best_fit_packing, op6_license_scan, op7_source_mixing, op8_token_codes, op9_quality_rules, op10_language_id)}
-ORACLES: dict[str, str] = {"op7_source_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op6_license_scan": licenses.oracle_sql(), "op7_source_mixing": mixing.ORACLE_SQL}

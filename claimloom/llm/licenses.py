@@ -150,3 +150,39 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(load(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB SQL. Its regexes cannot look around, so every word gets a space of its own on both sides."""
+
+    def spaced(pattern: str) -> str:
+        core = pattern.removeprefix("(?<= )").removesuffix("(?= )")
+        return " " + core.replace(" ?", "\x01").replace(" ", "  ").replace("\x01", "(?:  )?") + " "
+
+    rules = ",\n".join(f"({r['nth']}, '{r['label']}', '{r['keyword']}', {r['priority']}, {r['confidence']}::DOUBLE, '{spaced(r['pattern'])}')" for r in signature_rules())
+    base = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in BASE)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS rid FROM documents
+), n AS (
+  SELECT *, coalesce(array_to_string(list_transform(w, lambda x: ' ' || x || ' '), ''), '') AS n FROM d
+), base(phrase, label, k) AS (VALUES {base}), b AS (
+  SELECT rid, label, unnest(list_filter(range(0, greatest(len(w) - k + 1, 0)), lambda i: array_to_string(w[i + 1:i + k], ' ') = phrase)) AS pos
+  FROM n, base WHERE contains(n, ' ' || replace(phrase, ' ', '  ') || ' ')
+), bb AS (
+  SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM b GROUP BY rid
+), rules(nth, label, keyword, priority, confidence, rx) AS (VALUES
+{rules}
+), m AS (
+  SELECT rid, rules.*, regexp_extract_all(n, rx) AS ms, regexp_split_to_array(n, rx) AS ps FROM n JOIN rules ON contains(n, ' ' || keyword || ' ') AND regexp_matches(n, rx)
+), f AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m), g AS (
+  SELECT rid, nth, label, priority, confidence, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s, length(ms[i]) AS size FROM f
+), k AS (
+  SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g o WHERE o.rid = g.rid AND o.s <= g.s AND o.s + o.size >= g.s + g.size
+    AND (o.priority > g.priority OR (o.priority = g.priority AND (o.size > g.size OR (o.size = g.size AND o.nth < g.nth)))))
+), kk AS (SELECT rid, list(DISTINCT label) AS labels, max(confidence) AS confidence FROM k GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(bb.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.labels, []), coalesce(kk.labels, [])))), ','), '') AS labels,
+  greatest(coalesce(kk.confidence, 0.0::DOUBLE), CASE WHEN n_base > 0 THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END) AS score
+FROM n LEFT JOIN bb USING (rid) LEFT JOIN kk USING (rid)
+"""
