@@ -3,7 +3,8 @@
 The standard library's streaming parser turns a page into lines (blocks between block-level tags), each with its text,
 the number of tags in it and its chain of containers. Text-to-tag ratios are smoothed by a Gaussian over neighbouring
 lines and clustered by two means; the upper cluster marks the content regions. The region's container is the innermost
-one that holds most of the marked text, and the main text is every line of it that lies in no navigation, header,
+one that holds nearly all of the marked text (the article or main element around it, where there is one, or a wider container
+whose other lines read like text too), and the main text is every line of it that lies in no navigation, header,
 footer, sidebar, notice, advert, form, comment section, script or style.
 
 Cases: a null or empty page, or one without content, gives the empty string; unclosed and stray tags are taken as they
@@ -23,15 +24,18 @@ from .common import load, map_texts
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br img input".split())
 #: Elements that hold no main text.
-SKIPPED = frozenset("head script style noscript template iframe object embed svg canvas math audio video map nav footer aside form button select option datalist textarea fieldset dialog menu menuitem noframes applet".split())
+SKIPPED = frozenset("head title script style noscript template iframe object embed svg canvas math audio video map nav footer aside form button select option datalist textarea fieldset dialog menu menuitem noframes applet".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 #: Words of class and id names that mark a part as no main text.
 HINTS = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|menu\w*|nav|nav-?bar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|top-?bar|cookies?|consent|notices?|gdpr|pop-?up|modal|overlay|newsletter|subscribe|sign-?up|log-?in|comments?|comment-?list|disqus|replies|respond|share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|skip-?link|tags?-?list|alerts?|legal|copyright)(?:$|[-_\s\d])",
     re.I,
 )
-#: Containers whose end a missing end tag does not hide: opening one of these closes an open paragraph or item.
-SIGMA, SHARE = 1.0, 0.6
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+#: Width of the smoothing, and the share of the marked text that the region's container must hold.
+SIGMA, SHARE = 1.0, 0.9
+#: Characters from which a line beside the region may be text of its own.
+PROSE = 60
 
 
 class _Lines(HTMLParser):
@@ -45,6 +49,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = []  # tag, number, skipped from here on
         self.skipping = 0
         self.made = 0
+        self.names: dict[int, str] = {}  # tags of elements by number
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -65,12 +70,13 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         named = {k: v or "" for k, v in attrs}
-        skip = tag in SKIPPED or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true"
+        skip = tag in SKIPPED or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or bool(HIDDEN.search(named.get("style", "")))
         if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack):
             skip = True
         if not skip and tag not in ("html", "body", "main", "article") and ("class" in named or "id" in named):
             skip = any(HINTS.search(named.get(k, "")) for k in ("class", "id"))
         self.made += 1
+        self.names[self.made] = tag
         self.stack.append((tag, self.made, skip))
         self.skipping += skip
 
@@ -160,6 +166,18 @@ def main_text(html: str | None) -> str:
     if not holders:
         return "\n".join(text for text, _, _ in lines)
     container = max(holders, key=lambda n: (depth[n], -n))
+    chain = next(c for _, _, c in lines if container in c)
+    above = chain[: chain.index(container) + 1][::-1]
+    named = [n for n in above if parser.names[n] in ("article", "main")]
+    if named:
+        container = named[0]
+    else:  # wider containers whose other lines read like text as well
+        for n in above[1:]:
+            others = [(len(text), tags) for text, tags, c in lines if n in c and container not in c]
+            prose = sum(size for size, tags in others if size >= PROSE and size / max(1, tags) >= PROSE / 6)
+            if 2 * prose < sum(size for size, _ in others) or not others:
+                continue
+            container = n
     return "\n".join(text for text, _, chain in lines if container in chain)
 
 

@@ -167,6 +167,8 @@ def test_html_cases(spark):
 <form>Mail <input></form><footer>Foot</footer></body></html>"""
     assert html_text.main_text(page) == "Head & line\nFirst paragraph, long enough to be text.\nSecond one © here."
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x</script>") == ""
+    parts = '<title>T</title><div style="display: none">no</div><div class="c"><div><p>' + "long words here " * 40 + "</p></div><div><p>" + "short part " * 9 + "</p></div></div><div id='cookie-notice'>We use</div>"
+    assert html_text.main_text(parts) == ("long words here " * 40).strip() + "\n" + ("short part " * 9).strip()
     assert html_text.main_text("plain  text &lt;b&gt;") == "plain text <b>"
     data = [(1, "u", page, "x"), (2, None, None, "x"), (None, "u", "", "x"), (3, "u", "<p>" + "word " * 50000, "x"), (1, "u", page, "x")]
     got = html_text.with_main_text(spark.createDataFrame(data, "page_id long, url string, html string, text string"), ["page_id", "url"]).collect()
