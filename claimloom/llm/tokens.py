@@ -48,7 +48,10 @@ class Pieces:
         sizes = self.sizes[which]
         ends = sizes.cumsum()
         total = int(ends[-1]) if len(ends) else 0
-        return Pieces(self.ids[np.repeat(self.begins[which] - (ends - sizes), sizes) + np.arange(total)], sizes)
+        kind = np.int32 if max(total, len(self.ids)) < 2**31 else np.int64  # the index is the largest array by far
+        index = np.repeat((self.begins[which] - (ends - sizes)).astype(kind), sizes)
+        index += np.arange(total, dtype=kind)
+        return Pieces(self.ids[index], sizes)
 
     def joined(self, groups: np.ndarray) -> Pieces:
         """Neighbouring pieces made one: groups gives the number of pieces in each."""
@@ -125,6 +128,7 @@ class TextEncoder:
         flat = pieces.flatten()
         coded = flat.dictionary_encode()
         heads = flat.take(pa.array(piece_at[:-1])).dictionary_encode()  # no space goes before these
+        del usual, lines, pieces, flat
         spaced, bare = self._distinct(coded.dictionary, " "), self._distinct(heads.dictionary, "")
         opened = Pieces(np.array([self.line], dtype="<u4"), np.array([1])).take(np.zeros(len(bare.sizes), np.int64))
         broken = Pieces.together(opened, bare)
@@ -134,6 +138,7 @@ class TextEncoder:
         which = coded.indices.to_numpy().astype(np.int64)
         later = np.ones(len(piece_at) - 1, dtype=np.int64)  # lines that a line break goes before
         later[line_at[:-1]] = 0
+        del coded
         which[piece_at[:-1]] = len(spaced.sizes) + heads.indices.to_numpy() + k * later
         found = table.take(which).joined(np.diff(piece_at[line_at]))
         raw = found.ids.tobytes()
