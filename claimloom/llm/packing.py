@@ -75,7 +75,7 @@ def plan_bins(counts: dict[int, int], cap: int) -> list[tuple[dict[int, int], in
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, max_len: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, max_len: int, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = tokens.GROUP_BYTES) -> DataFrame:
     """One row per piece, with the task that made it (part) and its number there among pieces of its length (nth)."""
     small_batches(docs.sparkSession)
     schema = arrow_schema(PIECES)
@@ -84,7 +84,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int, id_col: str = "d
         from pyspark import TaskContext
 
         encoder, part, seen = tokens.worker_encoder(tokenizer), TaskContext.get().partitionId(), {}
-        for ids, texts in tokens.grouped(batches, 1):
+        for ids, texts in tokens.grouped(batches, 1, group_bytes):
             rows: list[tuple] = []
             for doc_id, raw in zip(ids, encoder.encode(texts), strict=True):
                 n, start, piece = len(raw) // 4, 0, 0
@@ -100,9 +100,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int, id_col: str = "d
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = tokens.GROUP_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    pieces = materialize(token_pieces(docs, tokenizer or tokens.tokenizer_path(), max_len, id_col, text_col), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer or tokens.tokenizer_path(), max_len, id_col, text_col, group_bytes), "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("length").alias("l"), F.col("part").alias("p"), F.coalesce("before", F.lit(0)).alias("before"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_len rows at most
