@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, on native expressions alone.
 
 Rules are regexes over a text's lower-cased words, made from license families and sentence forms (a few hundred). A
-keyword prefilter on the raw text leaves most documents untouched, and a rule runs only where its family's keyword
-stands. Of the places that rules match, one inside another's interval goes if the outer one has the higher priority, or
+keyword prefilter on the raw text leaves most documents untouched, and a rule runs only where one of its family's
+keywords stands. Of the places that rules match, one inside another's interval goes if the outer one has the higher priority, or
 the same and is longer (or is earlier in the order of rules).
 
 Base phrases are counted apart from the rules, in all their places, and their labels always stay.
@@ -21,7 +21,7 @@ from .common import load
 #: Phrases whose places are counted, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label, keyword that must stand in the text, pattern of the name in words.
+#: label, keyword, pattern of the name in words. The keyword must stand in the text, or another of ALSO's for it.
 FAMILIES = (
     ("mit", "mit", "(?:mit|expat)"),
     ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
@@ -65,6 +65,8 @@ FAMILIES = (
     ("cc-by-nc-sa", "nc", "(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)(?: [1-4] [05])?"),
     ("cc-by-nc-nd", "nc", "(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative|ativ|)e?s?)(?: [1-4] [05])?"),
 )
+#: What stands in a family's other spellings in place of its keyword: every match of a pattern holds one of these words.
+ALSO = {"mit": ("expat",), "bsd": ("freebsd",), "by": ("attribution",), "nc": ("noncommercial", "non")}
 #: Sentence forms, in order: name, priority, confidence, pattern ({} is the family's name).
 FORMS = (
     ("identifier", 90, 1.0, "spdx license identifier {}"),
@@ -81,7 +83,7 @@ NAMED = ("apache-2", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "mpl-2",
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A necessary condition, on the raw text, of every base phrase and rule.
-PREFILTER = r"(?i)licen[cs]e|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|creative[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+commons|gnu[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:general|lesser|affero)|unlicense|(?:apache|mozilla|eclipse)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]|(?:licensed|released|distributed|published|available)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+under|(?:terms|conditions)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+of"
+PREFILTER = r"(?i)licen[cs]e|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|attribution)|creative[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+commons|gnu[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:general|lesser|affero)|unlicense|(?:apache|mozilla|eclipse)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]|(?:licensed|released|distributed|published|available)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+under|(?:terms|conditions)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+of"
 
 
 def signature_rules() -> list[dict]:
@@ -119,11 +121,11 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     first = F.array_min(F.array(*[_count_spaces(F.get(p, F.lit(0))) - 1 for p in parts]))
     last = F.array_max(F.array(*[F.col("n_words") - (_count_spaces(F.element_at(p, -1)) - 1) - n for p, n in zip(parts, sizes, strict=True)]))
     base = F.filter(F.array(*[F.when(p.isNotNull(), F.lit(label)) for p, (_, label) in zip(parts, BASE, strict=True)]), lambda x: x.isNotNull())
-    df = df.select(*keep, "n_words", n_base.cast("long").alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), base.alias("__base"), "__w", F.array_distinct(F.regexp_extract_all("__w", F.lit("(?<= )(" + "|".join(sorted({k for _, k, _ in FAMILIES})) + ")(?= )"), F.lit(1))).alias("__keys"))
-    schema = "array<struct<label string, keyword string, priority int, confidence double, pattern string, nth int>>"
-    rules = F.from_json(F.lit(json.dumps(signature_rules())), schema)
+    df = df.select(*keep, "n_words", n_base.cast("long").alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), base.alias("__base"), "__w", F.array_distinct(F.regexp_extract_all("__w", F.lit("(?<= )(" + "|".join(sorted({x for _, k, _ in FAMILIES for x in (k, *ALSO.get(k, ()))})) + ")(?= )"), F.lit(1))).alias("__keys"))
+    schema = "array<struct<label string, keywords array<string>, priority int, confidence double, pattern string, nth int>>"
+    rules = F.from_json(F.lit(json.dumps([r | {"keywords": [r["keyword"], *ALSO.get(r["keyword"], ())]} for r in signature_rules()])), schema)
     w, keys = F.col("__w"), F.col("__keys")
-    active = F.filter(rules, lambda r: F.array_contains(keys, r["keyword"]) & F.rlike(w, r["pattern"]))
+    active = F.filter(rules, lambda r: F.arrays_overlap(keys, r["keywords"]) & F.rlike(w, r["pattern"]))
     df = df.withColumn("__rules", F.when(F.size(keys) > 0, active))
 
     def places(r: Column) -> Column:
@@ -153,7 +155,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB SQL. Its regexes cannot look around, so every word gets a space of its own on both sides."""
+    """The same in DuckDB SQL, but for ALSO: it runs a rule only where the first keyword stands. Its regexes cannot look around, so every word gets a space of its own on both sides."""
 
     def spaced(pattern: str) -> str:
         core = pattern.removeprefix("(?<= )").removesuffix("(?= )")
