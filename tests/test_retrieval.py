@@ -23,3 +23,12 @@ def test_later_turns_and_documents_count(spark, small, name):
     best = [r for r in (row.asDict() for row in rows) if r.get("rank", r.get("rn", 1)) == 1]
     first = {(r["question_id"], r["turn"]): (r["source"], r["claim_id"]) for r in best}
     assert first == {(1, 1): ("documents", 0), (2, 0): ("benchmark", 0), (2, 2): ("documents", 1)}
+
+
+def test_published_entries_are_ranked_among_themselves(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 0, "user", "amber lanterns")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    unpublished = [(n, "amber lanterns") for n in (1, 3, 5, 7, 9, 11)]
+    spark.createDataFrame([*unpublished, (20, "amber lanterns glow over many quiet harbours")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, "amber lanterns")], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    assert [tuple(r) for r in catalog.queries()["faq_match_all"](spark, d).collect()] == [(1, 0, "benchmark", 20, 1.0, True)]
