@@ -32,3 +32,16 @@ def test_published_entries_are_ranked_among_themselves(spark, tmp_path):
     spark.createDataFrame([*unpublished, (20, "amber lanterns glow over many quiet harbours")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(1, "amber lanterns")], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
     assert [tuple(r) for r in catalog.queries()["faq_match_all"](spark, d).collect()] == [(1, 0, "benchmark", 20, 1.0, True)]
+
+
+def test_weak_questions_reach_claims_by_vectors_and_fresh_claims_lead(spark, tmp_path):
+    d = str(tmp_path)
+    # "turbinescencefulness" is no prefix of a claim's word, and holds too few of its trigrams; both share a stem of five letters
+    spark.createDataFrame([(1, 0, "user", "turbinescencefulness"), (2, 0, "user", "lanterns")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(0, "turbinology"), (4, "lanterns"), (364, "lanterns")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    rows = {(r["question_id"], r["rn"]): r for r in catalog.queries()["rrf_fused_rank_all"](spark, d).collect()}
+    assert rows[1, 1]["claim_id"] == 0
+    assert rows[2, 1]["claim_id"] == 4 and rows[2, 2]["claim_id"] == 364 and rows[2, 1]["score"] > 2 * rows[2, 2]["score"]
+    routes = {r["question_id"]: r["route"] for r in catalog.queries()["answers_all"](spark, d).collect()}
+    assert routes == {1: "fts:0,vector:1", 2: "fts:2"}
