@@ -100,14 +100,22 @@ def extraction_report(spark, d):
 def quote_found(spark, d):
     """Which benchmark passages stand in which documents, after normalisation.
 
-    Candidates share a rare 4-word shingle (the least by hash of the passage); only those texts are searched."""
-    b = read(spark, d, "benchmark").select("item_id", X.normalize(F.col("text")).alias("q"))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, 4), " ")))
-    b = b.withColumn("key", F.array_min(grams(F.split("q", " "))))
+    Candidates share a rare shingle (the least by hash) of the passage's inner words, which stand whole in a text that
+    holds the passage: 4 words, or all if there are fewer. Passages of one or two words are looked for in every text."""
+    b = read(spark, d, "benchmark").select("item_id", X.normalize(F.col("text")).alias("q")).where(F.length("q") >= 6)
+    grams = lambda c, n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(c, i, n), " "))))
+    b = b.withColumn("inner", F.expr("slice(split(q, ' '), 2, greatest(size(split(q, ' ')) - 2, 0))")).withColumn("width", F.least(F.size("inner"), F.lit(4)))
+    widths = {r["width"] for r in b.select("width").distinct().collect()}
+    b = b.withColumn("key", F.coalesce(*[F.when(F.col("width") == n, F.array_min(grams(F.col("inner"), n))) for n in (1, 2, 3, 4)]))
+    none = F.array().cast("array<bigint>")
     t = read(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
-    keys = t.select("doc_id", F.explode(F.array_distinct(grams(F.col("t")))).alias("key"))
+    keys = t.select("doc_id", F.explode(F.array_distinct(F.concat(none, *[F.coalesce(grams(F.col("t"), n), none) for n in sorted(widths - {0})]))).alias("key"))
     hits = keys.join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return hits.join(t.select("doc_id", F.array_join("t", " ").alias("s")), "doc_id").join(b.select("item_id", "q"), "item_id").where((F.length("q") >= 6) & F.contains("s", F.col("q"))).select("doc_id", "item_id")
+    s = t.select("doc_id", F.array_join("t", " ").alias("s"))
+    found = hits.join(s, "doc_id").join(b.select("item_id", "q"), "item_id").where(F.contains("s", F.col("q"))).select("doc_id", "item_id")
+    if 0 in widths:
+        found = found.unionByName(s.join(F.broadcast(b.where("width = 0").select("item_id", "q")), F.contains("s", F.col("q"))).select("doc_id", "item_id"))
+    return found
 
 
 def indel_ratio(a: str, b: str) -> float:
