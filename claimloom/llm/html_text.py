@@ -24,7 +24,7 @@ from .common import load, map_texts
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br img input".split())
 #: Elements that hold no main text.
-SKIPPED = frozenset("head title script style noscript template iframe object embed svg canvas math audio video map nav footer aside form button select option datalist textarea fieldset dialog menu menuitem noframes applet".split())
+SKIPPED = frozenset("head title script style noscript template iframe object embed svg canvas audio video map nav footer aside form button select option datalist textarea fieldset dialog menu menuitem noframes applet".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 #: Words of class and id names that mark a part as no main text.
 HINTS = re.compile(
@@ -39,9 +39,11 @@ PROSE = 60
 
 
 class _Lines(HTMLParser):
-    """text, tags and container chain of every line; skip depth keeps what lies in skipped elements out."""
+    """text, tags and container chain of every line; skip depth keeps what lies in skipped elements out.
 
-    def __init__(self):
+    spared holds the numbers of elements that no hint skips; spare() finds them in a first pass."""
+
+    def __init__(self, spared: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.parts: list[str] = []
@@ -50,6 +52,18 @@ class _Lines(HTMLParser):
         self.skipping = 0
         self.made = 0
         self.names: dict[int, str] = {}  # tags of elements by number
+        self.spared, self.main = spared, set()  # main: hinted elements that hold a main or article
+        self.held: dict[int, int] = {}  # characters in elements that only a hint skips
+        self.total = 0
+
+    def _hinted(self) -> list[int]:
+        """The open elements that a hint skips; none where something else is skipped too."""
+        open_ = [n for _, n, skip in self.stack if skip] if self.skipping else []
+        return open_ if all(n in self.held for n in open_) else []
+
+    def spare(self) -> frozenset[int]:
+        """Hinted elements around a main or article, or around most of the page's text."""
+        return frozenset(self.main | {n for n, size in self.held.items() if 2 * size > self.total})
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -74,8 +88,12 @@ class _Lines(HTMLParser):
         if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack):
             skip = True
         if not skip and tag not in ("html", "body", "main", "article") and ("class" in named or "id" in named):
-            skip = any(HINTS.search(named.get(k, "")) for k in ("class", "id"))
+            skip = self.made + 1 not in self.spared and any(HINTS.search(named.get(k, "")) for k in ("class", "id"))
+            if skip:
+                self.held[self.made + 1] = 0
         self.made += 1
+        if tag in ("main", "article") and not skip:
+            self.main.update(self._hinted())
         self.names[self.made] = tag
         self.stack.append((tag, self.made, skip))
         self.skipping += skip
@@ -109,6 +127,12 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skipping:
             self.parts.append(data)
+            self.total += len(data.strip())
+        elif hinted := self._hinted():
+            size = len(data.strip())
+            self.total += size
+            for n in hinted:
+                self.held[n] += size
 
     def close(self) -> None:
         super().close()
@@ -147,6 +171,10 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
+    if spared := parser.spare():
+        parser = _Lines(spared)
+        parser.feed(html)
+        parser.close()
     lines = parser.lines
     if not lines:
         return ""
