@@ -5,8 +5,8 @@ with a 1 for each of them that goes on at level k+1, and a rank directory (ones
 by following its bits: its place at the next level is the rank of its bit.
 
 Cases: a null or empty text encodes to the end id alone; no documents give no segments and no rows; repeated rows and
-ids are each written and read (ordered by id, then text; null ids first); other columns are ignored; a document longer
-than a segment's size gets a segment to itself."""
+ids are each written and read (ordered by id, then a hash of the text, then the place in the table; nulls first);
+other columns are ignored; a document longer than a segment's size gets a segment to itself."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import tokens
-from .common import arrow_schema, load, scratch_path, small_batches
+from .common import arrow_schema, load, materialize, scratch_path, small_batches
 
 MAGIC = b"DACS\x01"
 RANK_STEP = 512
@@ -98,40 +98,68 @@ class Codes:
 
 
 SEGMENTS = "shard int, segment int, shard_start long, doc_ids array<long>, lengths array<long>, n_tokens long, codes binary"
+ENCODED = "id long, hash long, part int, nth long, ids binary"
+
+
+def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, a hash of the text, the row's place (task and number there) and the ids of every whole text, the end id last.
+
+    Ids take two bytes each where the vocabulary allows it, else four. Texts are encoded where they are read, so that
+    none is in a shuffle."""
+    small_batches(docs.sparkSession)
+    schema = arrow_schema(ENCODED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        encoder, part, nth = tokens.worker_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        kind = encoder.id_type()
+        for ids, texts, hashes in tokens.grouped(batches, 1, also=2):
+            codes = [np.frombuffer(raw, "<u4").astype(kind).tobytes() for raw in encoder.encode(texts)]
+            row = [ids, hashes, np.full(len(ids), part), nth + np.arange(len(ids)), codes]
+            nth += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+            del codes, row
+            pa.default_memory_pool().release_unused()
+
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.when(text.isNotNull(), F.xxhash64(text)).alias("hash")).mapInArrow(run, ENCODED)
 
 
 def write_codes(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encodes every whole text and writes the ids in ascending id order under path, one row a segment.
 
-    Shards are ranges of the id, so their numbers are in id order; shard_start counts the ids before a segment within
-    its shard. Parquet is only the container: it gives atomic, retried commits on any store that Spark writes."""
-    small_batches(docs.sparkSession)
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    The encoded rows are written once (the range sort samples them first) and sorted as two bytes an id. Shards are
+    ranges of (id, hash of the text, place), so their numbers are in id order and rows of one id spread over shards;
+    shard_start counts the ids before a segment within its shard. Parquet is only the container: it gives atomic,
+    retried commits on any store that Spark writes."""
+    order = ["id", "hash", "part", "nth"]
+    ordered = materialize(encoded(docs, tokenizer, id_col, text_col), "encoded").repartitionByRange(*order).sortWithinPartitions(*order)
     schema = arrow_schema(SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard = tokens.worker_encoder(tokenizer), TaskContext.get().partitionId()
+        kind, shard = tokens.worker_encoder(tokenizer).id_type(), TaskContext.get().partitionId()
         segment = before = held = 0
         ids: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            lengths = [len(p) // 4 for p in parts]
-            row = [[shard], [segment], [before], [list(ids)], [lengths], [held], [pack(np.frombuffer(b"".join(parts), "<u4"))]]
+            row = [[shard], [segment], [before], [list(ids)], [[len(p) for p in parts]], [held], [pack(np.concatenate(parts))]]
             return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-        for group, texts in tokens.grouped(batches, 1):
-            for doc_id, raw in zip(group, encoder.encode(texts), strict=True):
-                if parts and held + len(raw) // 4 > segment_tokens:
+        for batch in batches:
+            for doc_id, raw in zip(batch.column("id").to_pylist(), batch.column("ids"), strict=True):
+                codes = np.frombuffer(raw.as_py(), kind)
+                if parts and held + len(codes) > segment_tokens:
                     yield close()
                     segment, before, held = segment + 1, before + held, 0
                     ids.clear()
                     parts.clear()
                 ids.append(doc_id)
-                parts.append(raw)
-                held += len(raw) // 4
+                parts.append(codes)
+                held += len(codes)
         if parts:
             yield close()
 

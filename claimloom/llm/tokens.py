@@ -1,9 +1,12 @@
 """Whole-text encoding with a public tokenizer, each distinct piece of a group of texts encoded once.
 
+Pieces met before are kept (at most KNOWN_PIECES of them a worker), so that small groups cost no more than large ones.
+
 The vocabulary's pre-tokenizer lets a token span a space only as its first character, and no token crosses a space or
 line break that has a non-space on both sides. A text in which every run of white space is one space or line break is
 therefore cut there; Arrow finds the distinct pieces, the library encodes those, and NumPy puts the ids together. Texts
-with other white space go to the library whole. Either way the ids are those of the whole text."""
+with other white space go to the library whole. Either way the ids are those of the whole text: a fixed probe is encoded
+both ways when an encoder starts, and with a vocabulary for which the two differ every text goes to the library whole."""
 
 from __future__ import annotations
 
@@ -15,8 +18,17 @@ import pyarrow.compute as pc
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Bytes of text that are encoded at once.
-GROUP_BYTES = 16 << 20
+#: Bytes of text that are encoded at once; distinct pieces whose ids a worker keeps.
+GROUP_BYTES, KNOWN_PIECES = 4 << 20, 600_000
+#: What an encoder tries both ways before it cuts texts into pieces.
+PROBE = (
+    "The quick brown fox, it's said. don't we'll I'm\nNext line here,\n",
+    "Où est l'été? Größe straße ñandú ÀÉÎ œuvre. ǅ ɏ",
+    "a1b2 12345 3.14 x=y+z; foo_bar(baz)[0] {k: 'v'} #tag @me $5 100% <p>&amp;</p>",
+    "Привет мир. Ελληνικά λέξεις, 中文 文字 日本語 한국어 😀 👩‍💻",
+    " leading space and trailing \n",
+    "ALLCAPS CamelCase mixed123Case ... --- !!! ,comma .stop a,b a.b",
+)
 
 #: White space in the widest sense that is not a single space or line break.
 _ODD_SPACE = r"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -74,10 +86,22 @@ class TextEncoder:
         self.line = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.marks = self._whole([".", ","])
         self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
+        nothing = Pieces(np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        self.known = {space: (pa.array([], pa.large_string()), nothing) for space in (" ", "")}
+        self.by_pieces = True
+        self.by_pieces = self.encode(list(PROBE)) == [w.tobytes() + self.end for w in self._library(PROBE)]
+
+    def id_type(self) -> str:
+        """The NumPy type that holds every id (and the end id) of the vocabulary."""
+        most = max(self.library.get_vocab(with_added_tokens=True).values(), default=0)
+        return "<u2" if max(most, int.from_bytes(self.end, "little")) < 1 << 16 else "<u4"
+
+    def _library(self, texts) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _whole(self, strings: list[str]) -> Pieces:
         """Each string by the library."""
-        got = [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+        got = self._library(strings)
         return Pieces(np.concatenate([np.zeros(0, "<u4"), *got]), np.array([len(g) for g in got], dtype=np.int64))
 
     def _words(self, words: pa.Array, space: str) -> Pieces:
@@ -108,16 +132,32 @@ class TextEncoder:
         both = np.stack([first, mark], axis=1)[np.stack([np.ones(len(pieces), bool), marked], axis=1)]
         return table.take(both).joined(1 + marked.astype(np.int64))
 
+    def _looked_up(self, pieces: pa.Array, space: str) -> tuple[Pieces, np.ndarray]:
+        """Known pieces' ids, and where among them each of the distinct pieces is; new ones are encoded and kept."""
+        strings, table = self.known[space]
+        at = pc.index_in(pieces, value_set=strings)
+        new = pc.is_null(at)
+        fresh = pieces.filter(new)
+        where = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(fresh):
+            where[new.to_numpy(zero_copy_only=False)] = len(strings) + np.arange(len(fresh))
+            strings, table = pa.concat_arrays([strings, fresh]), Pieces.together(table, self._distinct(fresh, space))
+        if len(strings) <= KNOWN_PIECES:
+            self.known[space] = strings, table
+        else:  # begin anew with what this group holds
+            self.known[space] = (pieces, table.take(where)) if len(pieces) <= KNOWN_PIECES else (strings[:0], table.take(where[:0]))
+        return table, where
+
     def encode(self, texts: pa.Array | list) -> list[bytes]:
         """The ids of each text and the end id, as little-endian uint32; null is an empty text."""
         array = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
-        odd = pc.match_substring_regex(array, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(array, _ODD_SPACE).to_numpy(zero_copy_only=False) | (not self.by_pieces)
         out: list[bytes] = [b""] * len(array)
         whole = [i for i in np.flatnonzero(odd).tolist()]
         for at in range(0, len(whole), 100):
             part = whole[at : at + 100]
-            for i, got in zip(part, self.library.encode_batch_fast([array[i].as_py() for i in part], add_special_tokens=False), strict=True):
-                out[i] = np.array(got.ids, dtype="<u4").tobytes() + self.end
+            for i, got in zip(part, self._library([array[i].as_py() for i in part]), strict=True):
+                out[i] = got.tobytes() + self.end
         usual = array.filter(pa.array(~odd))
         if not len(usual):
             return out
@@ -129,13 +169,14 @@ class TextEncoder:
         coded = flat.dictionary_encode()
         heads = flat.take(pa.array(piece_at[:-1])).dictionary_encode()  # no space goes before these
         del usual, lines, pieces, flat
-        spaced, bare = self._distinct(coded.dictionary, " "), self._distinct(heads.dictionary, "")
+        (spaced, spaced_at), (bare, bare_at) = self._looked_up(coded.dictionary, " "), self._looked_up(heads.dictionary, "")
+        bare = bare.take(bare_at)
         opened = Pieces(np.array([self.line], dtype="<u4"), np.array([1])).take(np.zeros(len(bare.sizes), np.int64))
         broken = Pieces.together(opened, bare)
         k = len(bare.sizes)
         broken = broken.take(np.stack([np.arange(k), k + np.arange(k)], axis=1).reshape(-1)).joined(np.full(k, 2, np.int64))
         table = Pieces.together(spaced, bare, broken)
-        which = coded.indices.to_numpy().astype(np.int64)
+        which = spaced_at[coded.indices.to_numpy()]
         later = np.ones(len(piece_at) - 1, dtype=np.int64)  # lines that a line break goes before
         later[line_at[:-1]] = 0
         del coded
@@ -147,21 +188,27 @@ class TextEncoder:
         return out
 
 
-def grouped(batches: Iterator[pa.RecordBatch], column: int, most: int = GROUP_BYTES) -> Iterator[tuple[list, pa.Array]]:
-    """The first column's values and the texts of some batches at a time, about most bytes of text together."""
+def grouped(batches: Iterator[pa.RecordBatch], column: int, most: int = GROUP_BYTES, also: int | None = None) -> Iterator[tuple]:
+    """The first column's values and the texts (and column also) of some batches at a time, about most bytes of text together."""
     ids: list = []
     texts: list[pa.Array] = []
+    more: list[pa.Array] = []
     held = 0
+
+    def group() -> tuple:
+        return (ids, pa.concat_arrays(texts)) if also is None else (ids, pa.concat_arrays(texts), pa.concat_arrays(more))
+
     for batch in batches:
         ids += batch.column(0).to_pylist()
         texts.append(batch.column(column).cast(pa.large_string()))
+        more.append(batch.column(also or 0))
         held += texts[-1].nbytes
         if held >= most:
-            yield ids, pa.concat_arrays(texts)
-            ids, texts, held = [], [], 0
+            yield group()
+            ids, texts, more, held = [], [], [], 0
             pa.default_memory_pool().release_unused()
     if texts:
-        yield ids, pa.concat_arrays(texts)
+        yield group()
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
