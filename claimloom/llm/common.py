@@ -67,12 +67,46 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
+def smallest_hashes(ids: DataFrame, n: int, group: str | None = None) -> list[tuple]:
+    """(doc_id, group's value, place from 0) of the n ids of each group whose hashes are smallest; without a group (doc_id, place).
+
+    Ids come to the driver once each, and only those below a hash threshold set from an estimate of the number of
+    distinct ids: about n of each group, however many tasks or repeats there are."""
+    by = [group] if group else []
+    counts = ids.groupBy(*by).agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()
+    share = {r[group] if group else None: min(1.0, 1.2 * n / max(1, r["n"]) + 40 / max(1, r["n"])) for r in counts}
+    at = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    if group:
+        shares = F.broadcast(ids.sparkSession.createDataFrame(sorted(share.items()), f"__g {dict(ids.dtypes)[group]}, __share double"))
+        near = ids.join(shares, F.col(group) == F.col("__g")).where(at <= F.col("__share")) if share else ids.limit(0)
+    else:
+        near = ids.where(at <= F.lit(share.get(None, 1.0)))
+    out, places = [], {}
+    for row in sorted((r["h"], r["doc_id"], *[r[c] for c in by]) for r in near.groupBy("doc_id", *by).agg(F.first(F.xxhash64("doc_id")).alias("h")).collect()):
+        place = places.setdefault(row[2:], 0)
+        if place < n:
+            out.append((*row[1:], place))
+            places[row[2:]] += 1
+    return out
+
+
+def taken_whole(sized: list[tuple], most: int) -> list:
+    """The names of (place, size, name) that fit most together, whole, by place; those too large for it come last, and
+    one at least is taken."""
+    out, held = [], 0
+    for _, size, name in sorted(sized, key=lambda x: (x[1] > most, x[0])):
+        if not out or held + size <= most:
+            out.append(name)
+            held += size
+    return out
+
+
 def map_texts(df: DataFrame, text: str, fields: str, make: Callable[[], Callable[[list], list]], keep: list[str]) -> DataFrame:
     """Adds the columns of the DDL string fields, computed from whole texts, to the columns keep of every row.
 
     make() runs once a task and returns a function from a list of texts (None for null) to one list or array per field.
     Rows are neither joined nor dropped, so null or repeated ids need no care; only the texts go to Python and only the
-    results come back. The function counts as non-deterministic so that filters on its results do not run it twice."""
+    results come back. A result replaces a kept column of its name. The function counts as non-deterministic so that filters on its results do not run it twice."""
     small_batches(df.sparkSession)
     added = T.StructType.fromDDL(fields)
     types = [f.type for f in arrow_schema(fields)]
@@ -87,7 +121,7 @@ def map_texts(df: DataFrame, text: str, fields: str, make: Callable[[], Callable
             pa.default_memory_pool().release_unused()
 
     made = F.arrow_udf(run, added).asNondeterministic()
-    kept = [F.col(f"`{c}`") for c in keep]
+    kept = [F.col(f"`{c}`") for c in keep if c not in names]
     return df.select(*kept, made(F.col(f"`{text}`")).alias("__made")).select(*kept, *[F.col("__made").getField(n).alias(n) for n in names])
 
 

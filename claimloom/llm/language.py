@@ -4,27 +4,31 @@ A suffix automaton is built from labelled text of each language. A text is parse
 longest phrases that occur there; the language whose normalised phrase count (phrases times the bits that point into its
 text) is least wins. Parsing runs over many texts at once: one NumPy step advances every open parse by one character.
 
-Texts are lower-cased, and runs of anything but letters become one space. Long texts are parsed whole, in blocks of
-BLOCK characters (a parse restarts at each block, alike for all languages and wherever the text lies).
+Texts are lower-cased, and runs of anything but letters become one space. Every letter of the labelled texts is a symbol;
+edges are a sparse table, so alphabets may be large. A long text is cut into blocks that are parsed side by side; a
+block's parse is then carried on into the next until both begin a phrase at one place, which gives the parse of the
+whole text.
 
 Cases: a null text, or one without a letter (the empty text too), is `und` with score 0; ties go to the first language
-by code point; without any labelled text every text is `und`; repeated rows get equal results; other columns pass
-through or are ignored."""
+by code point; without any labelled text every text is `und`; repeated rows get equal results, and of labelled rows that
+repeat an id and language the least text is learned from; other columns pass through or are ignored, and result columns
+replace kept ones of the same name."""
 
 from __future__ import annotations
 
 import math
+import random
 import unicodedata
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import id_hash_mod, load, map_texts
+from .common import id_hash_mod, load, map_texts, materialize, smallest_hashes, taken_whole
 
-#: Bounds of the labelled sample: documents per language, and characters per language kept from them.
-FIT_DOCS, FIT_CHARS = 120, 30_000
-#: Distinct symbols besides space and "other"; characters a block; cells of all automata together.
-SYMBOLS, BLOCK, MAX_CELLS = 250, 2048, 60_000_000
+#: Bounds of the labelled sample: whole texts per language, and characters per language that they hold together.
+FIT_DOCS, FIT_CHARS = 120, 60_000
+#: Characters that are parsed side by side in one block; characters of texts that are parsed at once.
+BLOCK, PARSE_CHARS = 2048, 4_000_000
 UND = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -59,11 +63,12 @@ def letters_only(text: str) -> np.ndarray:
 
 
 class SuffixAutomaton:
-    """All substrings of a symbol sequence; next[state, symbol] is -1 where no substring goes on."""
+    """All substrings of a symbol sequence (symbols from 1); state 0 is the root.
+
+    Edges lie in one table: the edge of a state by a symbol at the state's base plus the symbol, if the place is owned by
+    the state. Bases are drawn so that no two edges share a place."""
 
     def __init__(self, symbols: list[int], alphabet: int):
-        size = 2 * len(symbols) + 2
-        self.next = np.full((size, alphabet), -1, dtype=np.int32)
         nxt: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for s in symbols:
@@ -89,70 +94,136 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[current] = clone
             last = current
-        self.next = self.next[: len(nxt)]
-        for state, edges in enumerate(nxt):
-            for s, to in edges.items():
-                self.next[state, s] = to
+        edges = sum(map(len, nxt))
+        size = 2 * edges + 2 * alphabet + 16
+        used = bytearray(size)
+        self.base = np.zeros(len(nxt), dtype=np.int32)
+        self.owner, self.to = np.full(size + alphabet, -1, dtype=np.int32), np.zeros(size + alphabet, dtype=np.int32)
+        draw = random.Random(1)
+        for state in sorted((i for i, e in enumerate(nxt) if len(e) > 1), key=lambda i: -len(nxt[i])):
+            own = nxt[state]
+            while True:
+                base = draw.randrange(size - alphabet)
+                if not any(used[base + s] for s in own):
+                    break
+            self.base[state] = base
+            for s, to in own.items():
+                used[base + s] = 1
+                self.owner[base + s], self.to[base + s] = state, to
+        single = [(i, *next(iter(e.items()))) for i, e in enumerate(nxt) if len(e) == 1]
+        if single:
+            states, by, to = np.array(single, dtype=np.int32).T
+            free = alphabet + np.flatnonzero(np.frombuffer(used, np.uint8)[alphabet:] == 0)[: len(single)]
+            self.base[states] = free - by
+            self.owner[free], self.to[free] = states, to
+        self.first = np.zeros(alphabet, dtype=np.int32)  # from the root; 0 where no phrase begins so
+        for s, to in nxt[0].items():
+            self.first[s] = to
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each parse is after its next symbol, and whether the symbol begins a phrase there."""
+        at = self.base[states] + symbols
+        dead = self.owner[at] != states
+        return np.where(dead, self.first[symbols], self.to[at]), dead | (states == 0)
+
+    def phrases(self, grid: np.ndarray, lengths: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Phrases of the text that begins in each block, for blocks in columns of grid, longest first.
+
+        after is the block that follows in the same text, or -1; a block that one follows is as long as grid."""
+        n = len(lengths)
+        state = np.zeros(n, dtype=np.int32)
+        begins = np.zeros(grid.shape, dtype=bool)
+        open_at = np.searchsorted(-lengths, -np.arange(1, len(grid) + 1), side="right")  # blocks longer than step
+        for at, m in enumerate(open_at.tolist()):
+            state[:m], begins[at, :m] = self.step(state[:m], grid[at, :m])
+        count = begins.sum(axis=0)
+        # carry each parse on into the next block, until that one's own parse begins a phrase at the same place
+        target, extra, skipped = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        lane = np.flatnonzero(after >= 0)
+        block, state = after[lane], state[lane]
+        while len(lane):
+            skipped[lane] = 0
+            waiting = []  # parses that meet no block's own before the next block
+            for at in range(len(grid)):
+                ended = lengths[block] <= at
+                if ended.any():  # the text's end: what the carried parse found stands
+                    lane, block, state = lane[~ended], block[~ended], state[~ended]
+                if not len(lane):
+                    break
+                state, new = self.step(state, grid[at, block])
+                own = begins[at, block]
+                met = new & own
+                target[lane[met]] = block[met]
+                lane, block, state, new, own = lane[~met], block[~met], state[~met], new[~met], own[~met]
+                extra[lane] += new
+                skipped[lane] += own
+            follows = after[block] >= 0
+            waiting = lane[follows], after[block[follows]], state[follows]
+            lane, block, state = waiting
+        total = count.copy()
+        for first in np.flatnonzero(after >= 0).tolist():
+            at, total[first] = first, count[first]
+            while after[at] >= 0:
+                total[first] += extra[at]
+                if target[at] < 0:
+                    break
+                total[first] += count[target[at]] - skipped[at]
+                at = target[at]
+        return total
 
 
 class LanguageModel:
-    """Automata of all languages in one table, and what parsing needs."""
+    """An automaton for each language, and what parsing needs."""
 
-    def __init__(self, samples: dict[str, list[str]], chars: int = FIT_CHARS):
+    def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        parts = {k: [letters_only(t) for t in v] for k, v in samples.items()}
-        seen, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *[p for v in parts.values() for p in v]]), return_counts=True)
-        common = seen[np.argsort(-counts, kind="stable")][:SYMBOLS]
-        self.symbol_of = np.zeros(0x110000, dtype=np.uint8)  # 0: a character that no sample has
-        self.symbol_of[common] = np.arange(1, len(common) + 1)
-        alphabet = len(common) + 1
-        chars = min(chars, MAX_CELLS // max(1, 2 * alphabet * len(self.languages)))
-        tables, self.bits, roots, at = [], [], [], 0
+        parts = {k: [p for t in v if len(p := letters_only(t))] for k, v in samples.items()}
+        self.points = np.unique(np.concatenate([np.array([32], np.uint32), *[p for v in parts.values() for p in v]]))
+        self.automata, self.bits = [], []
         for k in self.languages:
-            text = np.concatenate([np.zeros(0, np.uint32), *[np.append(p, 32) for p in parts[k] if len(p)]])[:chars]
-            table = SuffixAutomaton(self.symbol_of[text].tolist(), alphabet).next
-            table[:, 0] = -1
-            tables.append(np.where(table >= 0, table + at, -1).astype(np.int32))
-            roots.append(at)
-            at += len(table)
+            text = np.concatenate([np.zeros(0, np.uint32), *[np.append(p, 32) for p in parts[k]]]).astype(np.uint32)
+            self.automata.append(SuffixAutomaton((1 + np.searchsorted(self.points, text)).tolist(), len(self.points) + 1))
             self.bits.append(math.log2(max(len(text), 2)))
-        self.table = np.concatenate(tables) if tables else np.zeros((0, alphabet), np.int32)
-        self.alphabet = alphabet
-        self.roots = np.array(roots, dtype=np.int32)
+        self._symbol_of: np.ndarray | None = None
+
+    def _symbols(self, points: np.ndarray) -> np.ndarray:
+        """The symbol of each code point; 0 for one that no sample has."""
+        if self._symbol_of is None:
+            self._symbol_of = np.zeros(0x110000, dtype=np.int32)
+            self._symbol_of[self.points] = 1 + np.arange(len(self.points))
+        return self._symbol_of[points]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (code points of letters_only) in each language."""
-        owners = [i for i, t in enumerate(texts) for _ in range(0, len(t), BLOCK)]
-        blocks = [t[a : a + BLOCK] for t in texts for a in range(0, len(t), BLOCK)]
         out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
-        if not blocks or not self.languages:
+        start = held = 0
+        for stop in range(1, len(texts) + 1):
+            held += len(texts[stop - 1])
+            if stop == len(texts) or held + len(texts[stop]) > PARSE_CHARS:
+                out[start:stop] = self._phrases(texts[start:stop])
+                start, held = stop, 0
+        return out
+
+    def _phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
+        owners = np.array([i for i, t in enumerate(texts) for _ in range(0, len(t), BLOCK)], dtype=np.int64)
+        if not len(owners) or not self.languages:
             return out
+        blocks = [t[a : a + BLOCK] for t in texts for a in range(0, len(t), BLOCK)]
         lengths = np.array([len(b) for b in blocks])
         order = np.argsort(-lengths, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        after = np.full(len(blocks), -1)  # by column
+        follows = np.flatnonzero(owners[1:] == owners[:-1])
+        after[place[follows]] = place[follows + 1]
         lengths = lengths[order]
-        grid = np.zeros((int(lengths[0]), len(blocks)), dtype=np.uint8)
-        for column, b in enumerate(order):
-            grid[: len(blocks[b]), column] = self.symbol_of[blocks[b]]
-        flat, a, k = self.table.reshape(-1), self.alphabet, len(self.languages)
-        first = self.table[self.roots]  # a phrase's first character, by language
-        first = np.where(first >= 0, first, self.roots[:, None])
-        root = self.roots[:, None]
-        state = np.broadcast_to(root, (k, len(blocks))).copy()
-        count = np.zeros((k, len(blocks)), dtype=np.int32)
-        open_at = np.searchsorted(-lengths, -np.arange(1, len(grid) + 1), side="right")  # blocks longer than step
-        for step in range(len(grid)):
-            n = int(open_at[step])
-            symbols = grid[step, :n]
-            here = state[:, :n]
-            to = flat[here * a + symbols]
-            dead = to < 0
-            # a phrase ends before this character, which opens the next; one that no sample has is a phrase by itself
-            count[:, :n] += dead & (here != root)
-            fresh = first[:, symbols]
-            count[:, :n] += dead & (fresh == root)
-            state[:, :n] = np.where(dead, fresh, to)
-        count += state != root
-        np.add.at(out, np.array(owners)[order], count.T)
+        grid = np.zeros((int(lengths[0]), len(blocks)), dtype=np.int32)
+        for column, b in enumerate(order.tolist()):
+            grid[: len(blocks[b]), column] = self._symbols(blocks[b])
+        heads = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
+        for k, automaton in enumerate(self.automata):
+            out[owners[heads], k] = automaton.phrases(grid, lengths, after)[place[heads]]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -173,28 +244,26 @@ class LanguageModel:
 
 
 def fit_languages(docs: DataFrame, learn, docs_per_language: int = FIT_DOCS, chars: int = FIT_CHARS) -> LanguageModel:
-    """Learns from at most docs_per_language whole texts of each language among the rows where learn holds.
+    """Learns from whole texts among the rows where learn holds: at most docs_per_language of each language, and no more
+    characters of it than chars, unless a single text is longer.
 
-    The rows are those of the smallest hashes of the id, so the sample is the same however the table is partitioned.
-    At most docs_per_language texts a language come to the driver."""
+    The rows are those of the smallest hashes of the id, so the sample is the same however the table is partitioned."""
     spark = docs.sparkSession
-    ids = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = [(r["doc_id"], r["lang"]) for r in ids.withColumn("n", nth).where(F.col("n") <= docs_per_language).select("doc_id", "lang").distinct().collect()]
+    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    chosen = smallest_hashes(usable.select("doc_id", "lang"), docs_per_language, "lang")
     if not chosen:
         return LanguageModel({})
-    picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, lang string"))
-    rows = docs.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).where(F.col("text").isNotNull()).select("lang", "doc_id", F.col("text")).collect()
+    picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, lang string, place int"))
+    texts = usable.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).groupBy("lang", "doc_id", "place").agg(F.min("text").alias("text"))
+    texts = materialize(texts.where(F.length("text") > 0), "samples")
+    sizes = [(r["lang"], r["doc_id"], r["place"], r["n"]) for r in texts.select("lang", "doc_id", "place", F.length("text").alias("n")).collect()]
+    kept = [(lang, doc_id) for lang in {s[0] for s in sizes} for doc_id in taken_whole([(p, n, d) for k, d, p, n in sizes if k == lang], chars)]
     samples: dict[str, list[str]] = {}
-    for lang, doc_id, text in sorted(((r["lang"], r["doc_id"], r["text"]) for r in rows)):
-        samples.setdefault(lang, []).append(text[:chars])  # no more than a language's share is ever used
-    return LanguageModel({k: _interleaved(v, chars) for k, v in samples.items()}, chars)
-
-
-def _interleaved(texts: list[str], chars: int) -> list[str]:
-    """Equal shares of the texts, so that no long one fills the sample."""
-    share = max(200, chars // max(1, len(texts)))
-    return [t[:share] for t in texts]
+    if kept:
+        rows = texts.join(F.broadcast(spark.createDataFrame(kept, "lang string, doc_id long")), ["lang", "doc_id"]).select("lang", "place", "text").collect()
+        for lang, _, text in sorted((r["lang"], r["place"], r["text"]) for r in rows):
+            samples.setdefault(lang, []).append(text)
+    return LanguageModel(samples)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, keep: list[str], label: str = "lang_pred", score: str = "score", text_col: str = "text") -> DataFrame:

@@ -95,7 +95,8 @@ def test_suffix_automaton_finds_all_substrings():
             word = tuple(code // 5**k % 5 for k in range(n))
             state = 0
             for s in word:
-                state = a.next[state, s] if state >= 0 else -1
+                to, new = a.step(np.array([state]), np.array([s]))
+                state = int(to[0]) if state >= 0 and not (new[0] and state) and to[0] else -1
             assert (state >= 0) == (word in inside)
 
 
@@ -118,6 +119,46 @@ def test_phrases_are_the_longest_matches():
         assert got.tolist() == [slow_phrases(clean(samples[k][0]) + " ", clean(text)) for k in model.languages], text
 
 
+def test_texts_longer_than_a_block_are_parsed_whole(monkeypatch):
+    monkeypatch.setattr(language, "BLOCK", 64)
+    samples = {"en": [prose("en", 60, 1)], "zz": ["abab" * 30]}
+    model = language.LanguageModel(samples)
+    clean = lambda t: "".join(map(chr, language.letters_only(t)))
+    texts = [prose("en", 90, 2), "ab" * 200, "abc" * 70 + "ba" * 90, clean(samples["en"][0])[:300] * 2, "Ω" * 150, prose("fr", 100, 3), "b", clean(samples["zz"][0]) * 3]
+    got = model.phrases([language.letters_only(t) for t in texts])
+    for text, row in zip(texts, got.tolist(), strict=True):
+        assert row == [slow_phrases(clean(samples[k][0]) + " ", clean(text)) for k in model.languages], text
+
+
+def test_large_alphabets_keep_every_letter():
+    rng = np.random.default_rng(4)
+    spans = {"ja": (0x3041, 0x3096), "ko": (0xAC00, 0xD7A3), "zh": (0x4E00, 0x9FFF), "ru": (0x430, 0x44F), "el": (0x3B1, 0x3C9)}
+    words = {k: ["".join(map(chr, rng.integers(*span, 3))) for _ in range(1500)] for k, span in spans.items()}
+    words["yue"] = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 3))) for _ in range(1500)]
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    model = language.LanguageModel({k: [text(k, 4000)] for k in words})
+    assert len(model.points) > 8000
+    labels, scores = model.predict([text(k, 60) for k in model.languages])
+    assert labels == model.languages and min(scores) > 0.5
+
+
+def test_an_id_that_repeats_costs_one_row(spark):
+    from pyspark.sql import functions as F
+
+    from claimloom.llm.common import smallest_hashes, taken_whole
+
+    ids = spark.range(500).selectExpr("id AS doc_id", "cast(id % 2 AS string) AS lang").unionAll(spark.range(10000).selectExpr("cast(7 AS bigint)", "'1'"))
+    got = smallest_hashes(ids, 50, "lang")
+    assert len(got) == 100 and len({g[:2] for g in got}) == 100
+    order = [r[0] for r in spark.range(500).orderBy(F.xxhash64("id"), "id").collect()]
+    assert [g[0] for g in sorted(smallest_hashes(ids.select("doc_id"), 80), key=lambda g: g[1])] == order[:80]
+    docs = table(spark, [(7, prose("en", 60, i % 3), "en", "s", 0, 0.0, "") for i in range(10000)])
+    model = language.fit_languages(docs, F.lit(True))
+    assert model.bits == [np.log2(len(language.letters_only(min(prose("en", 60, i) for i in range(3)))) + 1)]
+    assert taken_whole([(0, 5, "a"), (1, 50, "b"), (2, 4, "c"), (3, 2, "d")], 10) == ["a", "c"]
+    assert taken_whole([(0, 50, "a"), (1, 40, "b")], 10) == ["a"]
+
+
 def test_language_id_rows(spark):
     from pyspark.sql import functions as F
 
