@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import id_hash_mod, load, map_texts, materialize, smallest_hashes, taken_whole
 
 #: Bounds of the labelled sample: whole texts per language, and characters per language that they hold together.
-FIT_DOCS, FIT_CHARS = 120, 60_000
+FIT_DOCS, FIT_CHARS = 120, 100_000
 #: Characters that are parsed side by side in one block; characters of texts that are parsed at once.
 BLOCK, PARSE_CHARS = 2048, 4_000_000
 UND = "und"

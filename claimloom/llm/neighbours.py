@@ -2,8 +2,9 @@
 
 Trees split at the median of a projection onto the difference of two random sample vectors; they are fitted on a bounded
 sample and sent to all workers, and every vector is sent down every tree. A query searches all trees through one shared
-priority queue (the margin to the nearest split passed so far), until its leaves hold enough vectors. Leaves are then
-compared with the queries that reached them, in double precision on the original vectors, and the best go on.
+priority queue (the margin to the nearest split passed so far), until its leaves hold enough vectors. Queries then stream
+past the leaves that they reached, in double precision on the original vectors, and the best go on. A task holds one leaf
+at a time, and a leaf with more than LEAF_ROWS vectors is dealt into chunks that its queries all visit.
 
 Equal vectors are one entry with its K+1 smallest ids, which is all that K neighbours other than the query's own row can
 need; so a vector that a third of all rows share costs no more than another.
@@ -21,16 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import load, materialize, small_batches
+from .common import load, materialize, small_batches, smallest_hashes
 
 K = 10
 #: Bound of the sample that the trees are fitted on; trees; vectors aimed at in a leaf.
 FIT_ROWS, TREES, LEAF, SEED = 20_000, 8, 160, 11
-#: A query's leaves hold this share of all vectors (counted once a tree), and at least so many. The share is what recall
-#: over 0.9 takes on vectors that fill the sphere evenly, which no index can prune; clustered ones do with far less.
-LOOK_SHARE, LOOK_LEAST = 0.9, 6000
+#: A query's leaves hold this share of all vectors (counted once a tree). It is what recall over 0.9 takes on vectors that
+#: fill the sphere evenly, which no index can prune; clustered ones do with far less.
+LOOK_SHARE = 1.5
+#: Vectors of a leaf that a task holds at once.
+LEAF_ROWS = 50_000
 #: Rows of the best so far that a task holds before it passes them on.
 HELD_ROWS = 1_000_000
+FIELDS = ("tree", "leaf", "entry", "v")
 FOUND = np.dtype([("query", np.int64), ("entry", np.int64), ("score", np.float64)])
 
 
@@ -85,7 +89,7 @@ class Forest:
         self.scale = max(1.0, total / max(1, len(sample)))  # rows for each row of the sample
         self.trees = [Tree(sample, max(4, int(leaf / self.scale)), rng) for _ in range(trees)] if len(sample) else []
 
-    def search(self, query: np.ndarray, look_at: float = LOOK_LEAST) -> list[tuple[int, int]]:
+    def search(self, query: np.ndarray, look_at: float) -> list[tuple[int, int]]:
         """(tree, leaf) in the order of one queue over all trees, until the leaves hold look_at vectors."""
         margins = [t.normals @ query - t.cuts for t in self.trees]
         queue = [(0.0, n, t.root) for n, t in enumerate(self.trees)]
@@ -113,7 +117,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return df.where(finite & F.exists("v", lambda x: x != 0.0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, fit_rows: int = FIT_ROWS, trees: int = TREES, leaf: int = LEAF, look_share: float = LOOK_SHARE, look_least: int = LOOK_LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = K, fit_rows: int = FIT_ROWS, trees: int = TREES, leaf: int = LEAF, look_share: float = LOOK_SHARE, leaf_rows: int = LEAF_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found to every row where is_query (a condition on column id) holds."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -127,11 +131,11 @@ def nearest(vectors: DataFrame, is_query, k: int = K, fit_rows: int = FIT_ROWS,
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, total = usual[0]["dims"], usual[0]["count"]
     entries = entries.where(F.size("v") == dims)
-    sample = entries.select("entry", "v").orderBy(F.xxhash64("entry"), "entry").limit(fit_rows)
-    sample = sorted((r["entry"], r["v"]) for r in sample.collect())
+    picked = spark.createDataFrame([(i,) for i, _ in smallest_hashes(entries.select(F.col("entry").alias("doc_id")), fit_rows)], "entry long")
+    sample = sorted((r["entry"], r["v"]) for r in entries.select("entry", "v").join(F.broadcast(picked), "entry").collect())
     forest = spark.sparkContext.broadcast(Forest(np.array([v for _, v in sample], dtype=np.float64), total, trees, leaf))
 
-    look_at = max(look_least, look_share * total)
+    look_at = look_share * total
     kind = dict(entries.dtypes)["v"]
 
     asked = valid.where(is_query).where(F.size("v") == dims).select(F.col("id").alias("query_id"), F.col("v").alias("qv")).distinct()
@@ -154,10 +158,17 @@ def nearest(vectors: DataFrame, is_query, k: int = K, fit_rows: int = FIT_ROWS,
                 yield pa.RecordBatch.from_arrays([pa.array(places[:, 0]), pa.array(places[:, 1]), batch.column(0).take(pick), batch.column(1).take(pick)], names=["tree", "leaf", "entry", "v"])
 
     fields = f"tree int, leaf int, entry long, v {kind}"
-    stored = entries.select("entry", "v").mapInArrow(descend, fields).withColumn("side", F.lit(1))
-    visits = queries.mapInArrow(search, fields).withColumn("side", F.lit(0))
-    # a leaf's queries come before its vectors, these by id
-    met = visits.unionByName(stored).repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "side", "entry")
+    stored = entries.select("entry", "v").mapInArrow(descend, fields)
+    # leaves too large for a task are dealt into chunks; there are few leaves, and fewer such ones. Vectors go down the
+    # trees once more for it, which costs less than to write them once a tree
+    counts = stored.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(leaf_rows)).cast("int").alias("chunks"))
+    large = F.broadcast(materialize(counts.where("chunks > 1"), "large-leaves"))
+    chunks = F.coalesce("chunks", F.lit(1))
+    dealt = stored.join(large, ["tree", "leaf"], "left").select(*FIELDS, F.pmod(F.xxhash64("entry"), chunks).cast("int").alias("chunk"), F.lit(0).alias("side"))
+    visits = queries.mapInArrow(search, fields).join(large, ["tree", "leaf"], "left")
+    visits = visits.select(*FIELDS, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("side"))
+    # a leaf's vectors come before its queries, by id
+    met = visits.unionByName(dealt).repartition("tree", "leaf", "chunk").sortWithinPartitions("tree", "leaf", "chunk", "side", "entry")
 
     def pruned(parts: list[np.ndarray]) -> np.ndarray:
         """The k+1 nearest distinct entries of each query among rows (query, entry, distance)."""
@@ -175,27 +186,28 @@ def nearest(vectors: DataFrame, is_query, k: int = K, fit_rows: int = FIT_ROWS,
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[n])) for n in FOUND.names], names=list(FOUND.names))
 
         place, held, size = None, [], 0
-        ids, q = [np.zeros(0, np.int64)], [np.zeros((0, dims))]
+        ids, near = [np.zeros(0, np.int64)], [np.zeros((0, dims))]
         for batch in batches:
-            tree, leaf, entry, side = (batch.column(n).to_numpy() for n in ("tree", "leaf", "entry", "side"))
+            tree, leaf, chunk, entry, side = (batch.column(n).to_numpy() for n in ("tree", "leaf", "chunk", "entry", "side"))
             v = batch.column("v").flatten().to_numpy().astype(np.float64).reshape(-1, dims)
-            cuts = np.flatnonzero((np.diff(tree) != 0) | (np.diff(leaf) != 0) | (np.diff(side) != 0)) + 1
+            cuts = np.flatnonzero((np.diff(tree) != 0) | (np.diff(leaf) != 0) | (np.diff(chunk) != 0) | (np.diff(side) != 0)) + 1
             for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tree)], strict=True):
-                if place != (tree[a], leaf[a]):
-                    place, ids, q = (tree[a], leaf[a]), [], []
+                if place != (tree[a], leaf[a], chunk[a]):
+                    place, ids, near = (tree[a], leaf[a], chunk[a]), [], []
                 if side[a] == 0:
                     ids.append(entry[a:z])
-                    q.append(v[a:z])
+                    near.append(v[a:z])
                     continue
                 if not ids:
                     continue
-                asked_ids, asked_v = np.concatenate(ids), np.concatenate(q)
-                step = max(1, 4_000_000 // ((z - a) * dims))
-                for at in range(0, len(asked_ids), step):
-                    d = np.sqrt(((asked_v[at : at + step, None, :] - v[None, a:z, :]) ** 2).sum(axis=2))
+                ids, near = [np.concatenate(ids)], [np.concatenate(near)]
+                step = max(1, 2_000_000 // (len(ids[0]) * dims))
+                for at in range(a, z, step):
+                    end = min(z, at + step)
+                    d = np.sqrt(((v[at:end, None, :] - near[0][None, :, :]) ** 2).sum(axis=2))
                     best = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
                     out = np.zeros(best.size, FOUND)
-                    out["query"], out["entry"], out["score"] = np.repeat(asked_ids[at : at + step], best.shape[1]), entry[a:z][best].reshape(-1), np.take_along_axis(d, best, axis=1).reshape(-1)
+                    out["query"], out["entry"], out["score"] = np.repeat(entry[at:end], best.shape[1]), ids[0][best].reshape(-1), np.take_along_axis(d, best, axis=1).reshape(-1)
                     held.append(out)
                     size += len(out)
                 if size > 2 * HELD_ROWS:

@@ -5,25 +5,26 @@ attention (tanh times sigmoid) weighs the vectors; the weighted sum gives the do
 labels; encoder, attention and scorer learn from them together, by Adam on the log loss, with NumPy.
 
 Cases: a null or empty text is one empty passage and is scored like any other; very long texts have as many passages as
-they need; with labels of one kind only (or none) every score is that kind's (or 1); repeated rows get equal results;
-other columns are ignored, and labels, lang, source and doc_id are no inputs."""
+they need; with labels of one kind only (or none) every score is that kind's (or 1); repeated rows get equal results; of
+labelled rows that repeat an id the least label and the least text are learned from; result columns replace kept ones of
+the same name, other columns are ignored, and labels, lang, source and doc_id are no inputs."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import id_hash_mod, load, map_texts
+from .common import id_hash_mod, load, map_texts, materialize, smallest_hashes, taken_whole
 
 PASSAGE = 64
-#: Bounds of the labelled sample that is fitted: documents, and passages of each (evenly spread over the text).
-FIT_DOCS, FIT_PASSAGES = 3000, 24
+#: Bounds of the labelled sample that is fitted, with all passages of each row: rows, and passages of all together.
+FIT_DOCS, FIT_PASSAGES = 3000, 40_000
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, SEED = 24, 12, 24, 128, 4e-3, 5
 FEATURES = 256 + 4
 THRESHOLD = 0.3
 
 
-def passages(text: str | None, most: int | None = None) -> np.ndarray:
+def passages(text: str | None) -> np.ndarray:
     """A row per passage: square roots of its byte shares, then word length, distinct words, words of repeated lines, size."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     seen: set[bytes] = set()
@@ -36,8 +37,6 @@ def passages(text: str | None, most: int | None = None) -> np.ndarray:
             again += [int(line in seen)] * len(own)
             seen.add(line)
     starts = range(0, max(1, len(words)), PASSAGE)
-    if most and len(starts) > most:
-        starts = [starts[i] for i in np.linspace(0, len(starts) - 1, most).astype(int)]
     out = np.zeros((len(starts), FEATURES), dtype=np.float32)
     for row, at in enumerate(starts):
         part = words[at : at + PASSAGE]
@@ -117,20 +116,28 @@ class AttentionModel:
         return out
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, learn, rows: int = FIT_DOCS) -> AttentionModel:
-    """Fits on at most rows labelled documents where learn (a condition on doc_id) holds: those of the smallest id hashes.
+def fit_quality(docs: DataFrame, labels: DataFrame, learn, rows: int = FIT_DOCS, most: int = FIT_PASSAGES) -> AttentionModel:
+    """Fits on labelled documents where learn (a condition on doc_id) holds, with all passages of each: at most rows of
+    them, those of the smallest id hashes, and no more passages together than most, unless a single text has more.
 
-    Passage profiles are made on the executors; at most rows * FIT_PASSAGES of them come to the driver."""
-    usable = labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    chosen = {r["doc_id"]: r["quality"] for r in usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows).collect()}
+    Passage profiles are made on the executors; those of the rows that are fitted come to the driver."""
+    spark = docs.sparkSession
+    usable = labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    chosen = smallest_hashes(usable.select("doc_id"), rows)
     if not chosen:
         return AttentionModel().fit([], np.zeros(0))
-    picked = F.broadcast(docs.sparkSession.createDataFrame(sorted(chosen.items()), "doc_id long, quality int"))
-    joined = docs.select("doc_id", "text").join(picked, "doc_id")
-    found = map_texts(joined, "text", "bag binary", lambda: lambda texts: [[passages(t, FIT_PASSAGES).astype(np.float16).tobytes() for t in texts]], ["doc_id", "quality"]).collect()
-    found = sorted((r["doc_id"], r["quality"], bytes(r["bag"])) for r in found)
-    bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, _, b in found]
-    return AttentionModel().fit(bags, np.array([q for _, q, _ in found], dtype=np.float32))
+    picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, place int"))
+    joined = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "place").agg(F.min("text").alias("text"))
+    made = map_texts(joined, "text", "bag binary", lambda: lambda texts: [[passages(t).astype(np.float16).tobytes() for t in texts]], ["doc_id", "place"])
+    labelled = usable.join(picked, "doc_id").select("doc_id", "quality")
+    bags = materialize(made.join(F.broadcast(labelled), "doc_id"), "bags")
+    width = 2 * FEATURES
+    sizes = [(r["place"], r["n"], r["doc_id"]) for r in bags.select("place", "doc_id", (F.length("bag") / width).cast("int").alias("n")).collect()]
+    kept = [(d,) for d in taken_whole(sizes, most)]
+    if not kept:
+        return AttentionModel().fit([], np.zeros(0))
+    found = sorted((r["place"], r["quality"], bytes(r["bag"])) for r in bags.join(F.broadcast(spark.createDataFrame(kept, "doc_id long")), "doc_id").select("place", "quality", "bag").collect())
+    return AttentionModel().fit([np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, _, b in found], np.array([q for _, q, _ in found], dtype=np.float32))
 
 
 def with_quality(docs: DataFrame, model: AttentionModel, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -146,7 +146,7 @@ def test_nearest_neighbours(spark):
     data = vectors()
     frame = spark.createDataFrame([(i, v, 1) for i, v in data], "vec_id long, embedding array<float>, score int")
     got = defaultdict(list)
-    for r in neighbours.nearest(frame, F.col("id") % 100 == 0).collect():
+    for r in neighbours.nearest(frame, F.col("id") % 100 == 0, look_share=neighbours.TREES).collect():  # every leaf
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     usable = {i: np.array(v) for i, v in data if i is not None and i < 2000}
     assert set(got) == {i for i in usable if i % 100 == 0}
@@ -171,8 +171,23 @@ def test_recall_on_random_vectors(spark):
     got = defaultdict(set)
     for r in neighbours.nearest(frame, F.col("id") % 300 == 0).collect():
         got[r["query_id"]].add(r["vec_id"])
+    assert recall(v, got) >= 0.9
+
+
+def test_recall_on_a_table_larger_than_its_sample_and_leaves(spark):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=(3000, 16)), rng.normal(size=(1, 16)) + rng.normal(size=(2500, 16)) / 1000]).astype(np.float32)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(frame, F.col("id") % 100 == 0, fit_rows=600, leaf_rows=40).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert len(got) == 55 and all(len(x) == 10 for x in got.values())
+    assert recall(v, got) >= 0.9
+
+
+def recall(v, got) -> float:
     hits = sum(len(set(np.argsort(((v - v[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) & found) for q, found in got.items())
-    assert hits >= 0.9 * 10 * len(got)
+    return hits / (10 * len(got))
 
 
 def test_stages_follow_their_operators(spark, tmp_path):

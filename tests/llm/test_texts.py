@@ -77,11 +77,29 @@ def test_isolation_forest_matches_path_by_path():
 
 
 def test_quality_rules_query_rows(spark):
-    docs = table(spark)
-    labels = spark.createDataFrame([(i, int(i % 7 != 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    data = [*rows(), *[(500 + i, prose("en", 70, i).upper().replace(" ", "!! "), "en", "s", 0, 0.0, "") for i in range(12)]]
+    docs = table(spark, data)
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i in [*range(60), *range(500, 512)]], "doc_id long, quality int, toxic int")
     got = rules.with_rules(docs, rules.fit_rules(docs, labels), ["doc_id", "score"]).collect()
-    assert len(got) == len(rows())
+    assert len(got) == len(data)
+    assert got[0].__fields__.count("score") == 1
+    model = rules.fit_rules(docs, labels)
+    assert model.threshold < 1
+    texts = {(r[0], r[1]) for r in data}
+    plain = {}
+    for doc_id, text in texts:
+        base, features = rules.statistics(text)
+        paths = []
+        for root in model.forest.roots:
+            at = root
+            while model.forest.feature[at] >= 0:
+                at = model.forest.left[at] + (features[model.forest.feature[at]] >= model.forest.cut[at])
+            paths.append(model.forest.path[at])
+        anomaly = 2 ** (-np.mean(paths) / rules._expected(model.forest.rows))
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        plain.setdefault(doc_id, set()).add((*base, failed, not failed and not anomaly > model.threshold + 1e-12))
     for r in got:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) in plain[r["doc_id"]]
         assert not (r["base_failed"] and r["kept"])
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
 
@@ -142,6 +160,16 @@ def test_large_alphabets_keep_every_letter():
     assert labels == model.languages and min(scores) > 0.5
 
 
+def test_results_replace_kept_columns_of_their_name(spark):
+    from pyspark.sql import functions as F
+
+    docs = table(spark)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert language.with_language(docs, language.fit_languages(docs, F.lit(True)), ["doc_id", "score", "lang_pred"]).columns == ["doc_id", "lang_pred", "score"]
+    assert quality.with_quality(docs, quality.fit_quality(docs, labels, F.lit(True)), ["score", "doc_id"]).columns == ["doc_id", "score", "predicted"]
+    assert rules.with_rules(docs, rules.fit_rules(docs, labels), ["doc_id", "kept"]).columns.count("kept") == 1
+
+
 def test_an_id_that_repeats_costs_one_row(spark):
     from pyspark.sql import functions as F
 
@@ -179,15 +207,61 @@ def test_attention_gradients_match_differences():
     x, first, y = rng.random((9, quality.FEATURES)), np.array([0, 2, 3]), np.array([1.0, 0.0, 1.0])
     loss = lambda: -np.mean(np.where(y == 1, np.log(p := model._forward(x, first)["p"]), np.log(1 - p)))
     grads = model.gradients(x, first, y)
-    for name in ("attend", "gate", "weigh", "score", "bias", "encode_b"):
+    for name in model.w:
         flat = model.w[name].reshape(-1)
-        keep, step = flat[0], 1e-6
-        flat[0] = keep + step
-        up = loss()
-        flat[0] = keep - step
-        down = loss()
-        flat[0] = keep
-        assert grads[name].reshape(-1)[0] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-8), name
+        for at in {0, len(flat) // 2, len(flat) - 1}:
+            keep, step = flat[at], 1e-6
+            flat[at] = keep + step
+            up = loss()
+            flat[at] = keep - step
+            down = loss()
+            flat[at] = keep
+            assert grads[name].reshape(-1)[at] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-8), (name, at)
+
+
+def plain_score(model: quality.AttentionModel, text: str | None) -> float:
+    """One document at a time, passage by passage, from the definition."""
+    w = model.w
+    lines, seen, words = [x for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if x.split()], set(), []
+    for line in lines:
+        words += [(x, line in seen) for x in line.split()]
+        seen.add(line)
+    vectors, weights = [], []
+    for at in range(0, max(1, len(words)), quality.PASSAGE):
+        part = words[at : at + quality.PASSAGE]
+        x = np.zeros(quality.FEATURES)
+        if part:
+            joined = b"".join(p for p, _ in part)
+            for byte in joined:
+                x[byte] += 1 / len(joined)
+            x[:256] **= 0.5
+            x[256:] = min(2.0, len(joined) / len(part) / 10), len({p for p, _ in part}) / len(part), sum(r for _, r in part) / len(part), len(part) / quality.PASSAGE
+        h = np.tanh(x @ w["encode"] + w["encode_b"])
+        vectors.append(h)
+        weights.append(np.exp((np.tanh(h @ w["attend"]) / (1 + np.exp(-(h @ w["gate"])))) @ w["weigh"]))
+    z = sum(a * h for a, h in zip(weights, vectors, strict=True)) / sum(weights)
+    return 1 / (1 + np.exp(-(z @ w["score"] + w["bias"][0])))
+
+
+def test_classifier_scores_like_a_plain_version():
+    model = quality.AttentionModel(seed=9)
+    texts = [None, "", "one", prose("fr", 64, 1), prose("en", 65, 2), (prose("de", 9, 1) + "\n") * 40, prose("en", 3000, 3), "é " * 100, prose("en", 65, 2)]
+    assert np.allclose(model.score(texts), [plain_score(model, t) for t in texts], atol=1e-5)
+
+
+def test_classifier_fits_all_passages_of_few_whole_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    fitted = []
+    monkeypatch.setattr(quality.AttentionModel, "fit", lambda self, bags, y, seed=0: fitted.append((bags, y)) or self)
+    long = prose("en", 64 * 100, 4)
+    data = [(i, long if i == 5 else prose("en", 70, i), "en", "s", 0, 0.0, "") for i in range(20)] + [(3, prose("en", 70, 3), "en", "s", 0, 0.0, "")] * 5000
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(3, 1, 0)] * 5000, "doc_id long, quality int, toxic int")
+    quality.fit_quality(table(spark, data), labels, F.lit(True), most=1000)
+    bags, y = fitted[0]
+    assert sorted(map(len, bags)) == [2] * 19 + [100] and sum(y) == 10  # id 3 once, all passages of 5
+    quality.fit_quality(table(spark, data), labels, F.lit(True), most=50)
+    assert sorted(map(len, fitted[1][0])) == [2] * 19  # a row is taken whole or not at all
 
 
 def test_classifier_learns_and_scores_every_row(spark):
