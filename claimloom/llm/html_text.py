@@ -1,20 +1,26 @@
 """Main text of web pages by text-to-tag ratio.
 
-The standard library's streaming parser turns a page into lines (blocks between block-level tags), each with its text,
-the number of tags in it and its chain of containers. Text-to-tag ratios are smoothed by a Gaussian over neighbouring
-lines and clustered by two means; the upper cluster marks the content regions. The region's container is the innermost
-one that holds nearly all of the marked text (the article or main element around it, where there is one, or a wider container
-whose other lines read like text too), and the main text is every line of it that lies in no navigation, header,
-footer, sidebar, notice, advert, form, comment section, script or style.
-
-Cases: a null or empty page, or one without content, gives the empty string; unclosed and stray tags are taken as they
-come; character references are decoded; a page without any markup is one line per the same rules; very long pages are
-parsed in one pass; repeated rows get equal results; other columns pass through or are ignored."""
+The standard library's streaming parser turns a page into lines (blocks between block-level tags), each with its text, the
+part of it in links, the number of tags in it and its container. A line's text-to-tag ratio, links left out, is smoothed by
+a Gaussian over the neighbouring lines of its article, and raised to the ratio of its container taken as a whole, or, in
+an article or main element, of all such elements; a list of links stays at its own. The ratios are clustered by two means of
+their logarithms, and the lines of the upper cluster are the main text. Ratios beyond PROSE, the ratio of prose in any
+page, count as that, and ratios that differ by less than a factor of APART are one cluster.
+
+What navigation, headers, footers, sidebars, notices, adverts, forms, comment sections, scripts and styles hold is no line.
+Of these, a form and an element that only its class or id tells are lines after all if they hold a main or article
+element, or most of the text of a page that has none; a first pass finds them.
+
+Cases: a null or empty page, or one without content, gives the empty string; omitted, unclosed and stray tags are taken as
+they come, in time and memory linear in the page; character references are decoded; a page without any markup is one
+line per the same rules; repeated rows get equal results; other columns pass through or are ignored, and result columns
+replace kept ones of the same name."""
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,86 +29,162 @@ from .common import load, map_texts
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br img input".split())
-#: Elements that hold no main text.
-SKIPPED = frozenset("head title script style noscript template iframe object embed svg canvas audio video map nav footer aside form button select option datalist textarea fieldset dialog menu menuitem noframes applet".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
-#: Words of class and id names that mark a part as no main text.
-HINTS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|menu\w*|nav|nav-?bar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|top-?bar|cookies?|consent|notices?|gdpr|pop-?up|modal|overlay|newsletter|subscribe|sign-?up|log-?in|comments?|comment-?list|disqus|replies|respond|share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|skip-?link|tags?-?list|alerts?|legal|copyright)(?:$|[-_\s\d])",
-    re.I,
+#: Blocks that are lines of their container, not containers.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption pre summary figcaption address option".split())
+#: Elements that hold no main text; and those that hold none unless they hold the page.
+SKIPPED = frozenset("head title script style noscript template iframe object embed svg canvas audio video map nav footer aside button select option datalist textarea menu menuitem noframes applet".split())
+DOUBTED = frozenset("form fieldset dialog".split())
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alertdialog alert".split())
+#: What may stand in a head; anything else ends it.
+OF_HEAD = frozenset("head title meta link script style base noscript template".split())
+#: Open blocks that a new one ends; any other block ends a paragraph.
+ENDS = {"li": "p li", "dt": "p dt dd", "dd": "p dt dd", "option": "option", "td": "p td th", "th": "p td th", "tr": "p td th tr"} | dict.fromkeys(("tbody", "thead", "tfoot"), "p td th tr tbody thead tfoot")
+ENDS = {k: frozenset(v.split()) for k, v in ENDS.items()}
+PARAGRAPH = frozenset(["p"])
+#: Words that make a class or id name one of no main text, and words that may stand beside them.
+HINTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promotion sidebar menu submenu nav navbar navigation breadcrumb breadcrumbs footer masthead siteheader pageheader topbar cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login comment comments commentlist disqus replies respond share sharing social related recommended recommendations widget widgets toolbar pagination pager skiplink taglist tagslist alert alerts legal copyright".split()
 )
+BESIDE = frozenset("site page main top bottom left right side up wrap wrapper container box block area list item items inner outer primary secondary section bar panel link links row col column slot unit group button buttons form text body global mobile desktop sticky fixed post posts article articles stories user users reader readers visitor small large first last".split())
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
-#: Width of the smoothing, and the share of the marked text that the region's container must hold.
-SIGMA, SHARE = 1.0, 0.9
-#: Characters from which a line beside the region may be text of its own.
-PROSE = 60
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Width of the smoothing in lines; the least factor between two clusters; the ratio of prose in any page.
+SIGMA, APART, PROSE = 1.0, 3.0, 60.0
 
 
-class _Lines(HTMLParser):
-    """text, tags and container chain of every line; skip depth keeps what lies in skipped elements out.
+def hinted(names: str) -> bool:
+    """Whether a class or id attribute names a part of no main text: a name of nothing but such words and those beside them."""
+    for name in names.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if parts and ("".join(parts) in HINTS or (any(p in HINTS for p in parts) and all(p in HINTS or p in BESIDE for p in parts))):
+            return True
+    return False
+
+
+class _Open:
+    """An open block: its tag and container's number, how it is skipped (0 not, 1 doubted, 2 surely), and inline elements open in it."""
 
-    spared holds the numbers of elements that no hint skips; spare() finds them in a first pass."""
+    __slots__ = ("counts", "inline", "node", "skip", "tag")
+
+    def __init__(self, tag: str, node: int, skip: int):
+        self.tag, self.node, self.skip = tag, node, skip
+        self.inline: list[tuple[str, int]] = []
+        self.counts: Counter = Counter()
+
+
+class _Lines(HTMLParser):
+    """lines: text, characters of it in links, tags and container of each. Containers are numbered, 0 around all; parent
+    and kind give each one's container and tag. spared holds the numbers of doubted elements that count after all."""
 
     def __init__(self, spared: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.parent, self.kind = [0], [""]
+        self.stack = [_Open("", 0, 0)]
+        self.open: Counter = Counter()
+        self.skips = [0, 0, 0]  # open elements by how they are skipped
+        self.links = self.tags = self.linked = 0
         self.parts: list[str] = []
-        self.tags = 0
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number, skipped from here on
-        self.skipping = 0
-        self.made = 0
-        self.names: dict[int, str] = {}  # tags of elements by number
-        self.spared, self.main = spared, set()  # main: hinted elements that hold a main or article
-        self.held: dict[int, int] = {}  # characters in elements that only a hint skips
+        self.made, self.spared = 0, spared
+        self.doubted: list[int] = []  # open, innermost last
+        self.around: dict[int, int] = {}  # of each doubted element the doubted one around it
+        self.held: Counter = Counter()  # characters in doubted elements alone
+        self.main: set[int] = set()  # doubted elements that hold a main or article
+        self.open_main = False  # a main or article that nothing skips
         self.total = 0
 
-    def _hinted(self) -> list[int]:
-        """The open elements that a hint skips; none where something else is skipped too."""
-        open_ = [n for _, n, skip in self.stack if skip] if self.skipping else []
-        return open_ if all(n in self.held for n in open_) else []
-
     def spare(self) -> frozenset[int]:
-        """Hinted elements around a main or article, or around most of the page's text."""
-        return frozenset(self.main | {n for n, size in self.held.items() if 2 * size > self.total})
+        """Doubted elements around a main or article, or around most of the text of a page without one."""
+        held, main = Counter(self.held), set(self.main)
+        for n in sorted(self.around, reverse=True):
+            if outer := self.around[n]:
+                held[outer] += held[n]
+                if n in main:
+                    main.add(outer)
+        return frozenset(main if main or self.open_main else {n for n, size in held.items() if 2 * size > self.total})
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, tuple(n for t, n, _ in self.stack if t not in INLINE and t != "p")))
-            self.tags = 0
+            self.lines.append((text, min(self.linked, len(text)), 1 + self.tags, self.stack[-1].node))
         self.parts.clear()
+        self.tags = self.linked = 0
+
+    def _skip_of(self, tag: str, attrs: list) -> int:
+        named = {k: v or "" for k, v in attrs}
+        if tag in SKIPPED or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or HIDDEN.search(named.get("style", "")):
+            return 2
+        if tag == "header" and not (self.open["article"] or self.open["main"]):
+            return 2
+        self.made += 1
+        if self.made in self.spared or tag in ("html", "body", "main", "article"):
+            return 0
+        return int(tag in DOUBTED or any(hinted(named.get(k, "")) for k in ("class", "id")))
+
+    def _enter(self, skip: int) -> None:
+        self.skips[skip] += 1
+        if skip == 1:
+            self.around[self.made] = self.doubted[-1] if self.doubted else 0
+            self.doubted.append(self.made)
+
+    def _leave(self, skip: int) -> None:
+        self.skips[skip] -= 1
+        if skip == 1:
+            self.doubted.pop()
+
+    def _close_inline(self, block: _Open) -> None:
+        tag, skip = block.inline.pop()
+        block.counts[tag] -= 1
+        self.links -= tag == "a"
+        self._leave(skip)
+
+    def _close_block(self) -> None:
+        block = self.stack.pop()
+        while block.inline:
+            self._close_inline(block)
+        self.open[block.tag] -= 1
+        self._leave(block.skip)
+
+    def _end_head(self) -> None:
+        while self.open["head"]:
+            self._close_block()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if not self.skipping:
-            self.tags += 1
-        if tag not in INLINE:
-            self._end_line()
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or tag not in VOID:
-                self._close_implied(tag)
-        elif tag == "br" and not self.skipping:
-            self.parts.append(" ")
+        if self.open["head"] and tag not in OF_HEAD:
+            self._end_head()
+        block = self.stack[-1]
+        if tag in INLINE:
+            if not (self.skips[1] or self.skips[2]):
+                self.tags += 1
+            if tag == "br":
+                self.parts.append(" ")
+            if tag not in VOID:
+                while tag == "a" and block.counts["a"]:  # a link ends an open one
+                    self._close_inline(block)
+                skip = self._skip_of(tag, attrs)
+                self._enter(skip)
+                block.inline.append((tag, skip))
+                block.counts[tag] += 1
+                self.links += tag == "a"
+            return
+        self._end_line()
+        ends = ENDS.get(tag, PARAGRAPH)
+        while self.stack[-1].tag in ends:
+            self._close_block()
         if tag in VOID:
             return
-        named = {k: v or "" for k, v in attrs}
-        skip = tag in SKIPPED or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or bool(HIDDEN.search(named.get("style", "")))
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack):
-            skip = True
-        if not skip and tag not in ("html", "body", "main", "article") and ("class" in named or "id" in named):
-            skip = self.made + 1 not in self.spared and any(HINTS.search(named.get(k, "")) for k in ("class", "id"))
-            if skip:
-                self.held[self.made + 1] = 0
-        self.made += 1
-        if tag in ("main", "article") and not skip:
-            self.main.update(self._hinted())
-        self.names[self.made] = tag
-        self.stack.append((tag, self.made, skip))
-        self.skipping += skip
-
-    def _close_implied(self, tag: str) -> None:
-        """An open paragraph ends at any block; an item at the next of its kind."""
-        closes = {"p"} | ({tag} if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else set())
-        while self.stack and (self.stack[-1][0] in closes or (self.stack[-1][0] in INLINE and any(t in closes for t, _, _ in self.stack[-4:]))):
-            self.skipping -= self.stack.pop()[2]
+        skip = self._skip_of(tag, attrs)
+        self._enter(skip)
+        if tag in ("main", "article") and not self.skips[2]:
+            self.main.update(self.doubted[-1:])
+            self.open_main |= not self.doubted
+        node = self.stack[-1].node
+        if tag not in LINES:
+            self.parent.append(node)
+            self.kind.append(tag)
+            node = len(self.parent) - 1
+        self.stack.append(_Open(tag, node, skip))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -110,59 +192,106 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if not self.skipping:
-            self.tags += 1
-        if tag not in INLINE:
-            self._end_line()
-        if tag in VOID or not any(t == tag for t, _, _ in self.stack):
+        if tag in VOID:
             return
-        if tag in INLINE and not any(t == tag for t, _, _ in self.stack[-8:]):
+        if tag in INLINE:
+            block = self.stack[-1]
+            while block.counts[tag]:
+                last = block.inline[-1][0]
+                self._close_inline(block)
+                if last == tag:
+                    break
             return
-        while self.stack:
-            top, _, skip = self.stack.pop()
-            self.skipping -= skip
-            if top == tag:
+        self._end_line()
+        while self.open[tag]:
+            last = self.stack[-1].tag
+            self._close_block()
+            if last == tag:
                 break
 
     def handle_data(self, data: str) -> None:
-        if not self.skipping:
-            self.parts.append(data)
-            self.total += len(data.strip())
-        elif hinted := self._hinted():
-            size = len(data.strip())
-            self.total += size
-            for n in hinted:
-                self.held[n] += size
+        if self.stack[-1].tag == "head" and data.strip():
+            self._end_head()
+        if self.skips[2]:
+            return
+        size = len(data.strip())
+        self.total += size
+        if self.skips[1]:
+            self.held[self.doubted[-1]] += size
+            return
+        self.parts.append(data)
+        if self.links:
+            self.linked += size
 
     def close(self) -> None:
         super().close()
         self._end_line()
 
 
-def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
-    """Gaussian-weighted means over neighbouring lines."""
+def smoothed(values: list[float], group: list[int], sigma: float = SIGMA) -> list[float]:
+    """Gaussian-weighted means over neighbouring lines of the same group."""
     reach = max(1, math.ceil(2 * sigma))
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
     out = []
     for i in range(len(values)):
-        pairs = [(kernel[d + reach], values[i + d]) for d in range(-reach, reach + 1) if 0 <= i + d < len(values)]
+        pairs = [(kernel[j - i + reach], values[j]) for j in range(max(0, i - reach), min(len(values), i + reach + 1)) if group[j] == group[i]]
         out.append(sum(k * v for k, v in pairs) / sum(k for k, _ in pairs))
     return out
 
 
-def two_means(values: list[float]) -> float:
-    """The threshold between the two clusters of values; the least value if they do not differ."""
-    low, high = min(values), max(values)
-    for _ in range(50):
+def two_means(values: list[float]) -> tuple[float, float]:
+    """The means of the two clusters of values, each value being nearer to its own; equal if there is but one."""
+    ordered = sorted(values)
+    sums = [0.0]
+    for v in ordered:
+        sums.append(sums[-1] + v)
+    low, high = ordered[0], ordered[-1]
+    for _ in range(100):
         cut = (low + high) / 2
-        lower, upper = [v for v in values if v < cut], [v for v in values if v >= cut]
-        if not lower or not upper:
-            return low
-        new = sum(lower) / len(lower), sum(upper) / len(upper)
+        n = next((i for i, v in enumerate(ordered) if v >= cut), len(ordered))
+        if not 0 < n < len(ordered):
+            return low, low
+        new = sums[n] / n, (sums[-1] - sums[n]) / (len(ordered) - n)
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2
+    return low, high
+
+
+def line_ratios(lines: list[tuple[str, int, int, int]], parent: list[int], kind: list[str]) -> list[float]:
+    """The smoothed text-to-tag ratio of each line."""
+    size = len(parent)
+    text, linked, tags = [0] * size, [0] * size, [0] * size
+    for line, in_links, n, node in lines:
+        text[node] += len(line)
+        linked[node] += in_links
+        tags[node] += n
+    for n in range(size - 1, 0, -1):  # containers as a whole; body and html are their own lines alone
+        if kind[parent[n]] not in ("", "html", "body"):
+            for of in (text, linked, tags):
+                of[parent[n]] += of[n]
+    whole = [(t - k) / max(1, g) for t, k, g in zip(text, linked, tags, strict=True)]
+    article = [0] * size  # the outermost article or main element around each container
+    for n in range(1, size):
+        article[n] = article[parent[n]] or n * (kind[n] in ("article", "main"))
+    outermost = {n for n in article if n}
+    articles = sum(text[n] - linked[n] for n in outermost) / max(1, sum(tags[n] for n in outermost))
+    own = [(len(line) - in_links) / n for line, in_links, n, _ in lines]
+    near = smoothed(own, [article[node] for *_, node in lines])
+    out = []
+    for value, (line, in_links, _, node) in zip(near, lines, strict=True):
+        if 2 * linked[node] > text[node] and 2 * in_links > len(line):  # a list of links
+            out.append(whole[node])
+        else:
+            out.append(max(value, whole[node], articles if article[node] else 0.0))
+    return out
+
+
+def chosen(ratios: list[float]) -> list[bool]:
+    """Whether each line lies in the upper cluster of ratios."""
+    logs = [math.log(1 + min(r, PROSE)) for r in ratios]
+    low, high = two_means(logs)
+    return [high - low < math.log(APART) or 2 * x >= low + high for x in logs]
 
 
 def main_text(html: str | None) -> str:
@@ -175,38 +304,10 @@ def main_text(html: str | None) -> str:
         parser = _Lines(spared)
         parser.feed(html)
         parser.close()
-    lines = parser.lines
-    if not lines:
+    if not parser.lines:
         return ""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
-    cut = two_means(ratios)
-    marked = [r >= cut for r in ratios]
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for (text, _, chain), mark in zip(lines, marked, strict=True):
-        if mark:
-            total += len(text)
-            for level, n in enumerate(chain):
-                weight[n] = weight.get(n, 0) + len(text)
-                depth[n] = level
-    holders = [n for n, x in weight.items() if x >= SHARE * total]
-    if not holders:
-        return "\n".join(text for text, _, _ in lines)
-    container = max(holders, key=lambda n: (depth[n], -n))
-    chain = next(c for _, _, c in lines if container in c)
-    above = chain[: chain.index(container) + 1][::-1]
-    named = [n for n in above if parser.names[n] in ("article", "main")]
-    if named:
-        container = named[0]
-    else:  # wider containers whose other lines read like text as well
-        for n in above[1:]:
-            others = [(len(text), tags) for text, tags, c in lines if n in c and container not in c]
-            prose = sum(size for size, tags in others if size >= PROSE and size / max(1, tags) >= PROSE / 6)
-            if 2 * prose < sum(size for size, _ in others) or not others:
-                continue
-            container = n
-    return "\n".join(text for text, _, chain in lines if container in chain)
+    marks = chosen(line_ratios(parser.lines, parser.parent, parser.kind))
+    return "\n".join(text for (text, *_), mark in zip(parser.lines, marks, strict=True) if mark)
 
 
 def with_main_text(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
@@ -219,8 +320,7 @@ def with_main_text(pages: DataFrame, keep: list[str], html_col: str = "html") ->
 
         return work
 
-    out = map_texts(pages, html_col, "text string, n_chars long", make, keep)
-    return out
+    return map_texts(pages, html_col, "text string, n_chars long", make, keep)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

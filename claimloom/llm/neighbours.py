@@ -29,7 +29,7 @@ K = 10
 FIT_ROWS, TREES, LEAF, SEED = 20_000, 8, 160, 11
 #: A query's leaves hold this share of all vectors (counted once a tree). It is what recall over 0.9 takes on vectors that
 #: fill the sphere evenly, which no index can prune; clustered ones do with far less.
-LOOK_SHARE = 1.5
+LOOK_SHARE = 2.0
 #: Vectors of a leaf that a task holds at once.
 LEAF_ROWS = 50_000
 #: Rows of the best so far that a task holds before it passes them on.
