@@ -67,6 +67,13 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
+def word_count(text, separators: str):
+    """The runs of other characters in a text that the regex separators (runs of them) leaves; null as 0."""
+    pieces = F.split(text, separators, -1)
+    empty = lambda piece: F.when(piece == "", 1).otherwise(0)
+    return F.coalesce(F.greatest(F.size(pieces) - empty(F.get(pieces, F.lit(0))) - empty(F.element_at(pieces, -1)), F.lit(0)), F.lit(0)).cast("long")
+
+
 def smallest_hashes(ids: DataFrame, n: int, group: str | None = None) -> list[tuple]:
     """(doc_id, group's value, place from 0) of the n ids of each group whose hashes are smallest; without a group (doc_id, place).
 

@@ -1,101 +1,35 @@
 """License scans by ordered signature rules, on native expressions alone.
 
-Rules are regexes over a text's lower-cased words, made from license families and sentence forms (a few hundred). A
-keyword prefilter on the raw text leaves most documents untouched, and a rule runs only where one of its family's
-keywords stands. Of the places that rules match, one inside another's interval goes if the outer one has the higher priority, or
-the same and is longer (or is earlier in the order of rules).
+Rules (license_rules.py) are hand-written regexes over a text's lower-cased words: what license texts, headers,
+identifiers, links and sentences say. Most documents hold none of the parts of words that every rule needs, and go no
+further; a rule runs only where its section's keyword stands, which each of its matches holds. Of the places that rules
+match, one inside another's interval goes if the outer one has the higher priority, or the same and is longer (or is
+earlier in the order of rules): one sweep over the places in order of their begin decides.
 
 Base phrases are counted apart from the rules, in all their places, and their labels always stay.
 
 Cases: a null or empty text has no words, no labels and score 0; repeated rows get equal results; ties of interval and
-priority go to the earlier rule; other columns pass through or are ignored."""
+priority go to the earlier rule; a text of nothing but matches takes time in proportion to them (and their sorting); other
+columns pass through or are ignored, and result columns replace kept ones of the same name."""
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import load
+from .common import load, word_count
+from .license_rules import BEGINNINGS, STEMS, rules
 
 #: Phrases whose places are counted, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label, keyword, pattern of the name in words. The keyword must stand in the text, or another of ALSO's for it.
-FAMILIES = (
-    ("mit", "mit", "(?:mit|expat)"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("gpl-2", "general", "gnu general public(?: license)?(?: version| v)? ?2"),
-    ("gpl-3", "general", "gnu general public(?: license)?(?: version| v)? ?3"),
-    ("lgpl-2.1", "lesser", "gnu lesser general public(?: license)?(?: version| v)? ?2 1"),
-    ("lgpl-3", "lesser", "gnu lesser general public(?: license)?(?: version| v)? ?3"),
-    ("agpl-3", "affero", "gnu affero general public(?: license)?(?: version| v)? ?3"),
-    ("gfdl", "documentation", "gnu free documentation"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
-    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("0bsd", "0bsd", "0bsd"),
-    ("mpl-1.1", "mozilla", "mozilla public(?: license)?(?: version| v)? ?1 1"),
-    ("mpl-2", "mozilla", "mozilla public(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("epl-1", "eclipse", "eclipse public(?: license)?(?: version| v)? ?1(?: 0)?"),
-    ("epl-2", "eclipse", "eclipse public(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("eupl-1.2", "european", "european union public(?: licen[cs]e)?(?: version| v)? ?1 2"),
-    ("cddl-1", "common", "common development and distribution(?: license)?(?: version| v)? ?1"),
-    ("cpl-1", "common", "common public(?: license)?(?: version| v)? ?1 0"),
-    ("isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib"),
-    ("bsl-1", "boost", "boost software(?: license)?(?: version| v)? ?1(?: 0)?"),
-    ("artistic-2", "artistic", "(?:perl )?artistic(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("python-2", "python", "python software foundation"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("ms-pl", "microsoft", "microsoft public"),
-    ("ms-rl", "microsoft", "microsoft reciprocal"),
-    ("ofl-1.1", "sil", "sil open font(?: license)?(?: version| v)? ?1 1"),
-    ("odbl-1", "database", "open database"),
-    ("odc-by-1", "commons", "open data commons attribution"),
-    ("pddl-1", "domain", "public domain dedication and(?: license)?"),
-    ("cc0-1", "cc0", "cc0(?: 1 0)?"),
-    ("cc-by", "by", "(?:cc|creative commons) (?:by|attribution)(?: [1-4] [05])?"),
-    ("cc-by-sa", "by", "(?:cc|creative commons) (?:by sa|attribution share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nd", "by", "(?:cc|creative commons) (?:by nd|attribution no ?deriv(?:ative|ativ|)e?s?)(?: [1-4] [05])?"),
-    ("cc-by-nc", "nc", "(?:cc|creative commons) (?:by nc|attribution non ?commercial)(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "nc", "(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "nc", "(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative|ativ|)e?s?)(?: [1-4] [05])?"),
-)
-#: What stands in a family's other spellings in place of its keyword: every match of a pattern holds one of these words.
-ALSO = {"mit": ("expat",), "bsd": ("freebsd",), "by": ("attribution",), "nc": ("noncommercial", "non")}
-#: Sentence forms, in order: name, priority, confidence, pattern ({} is the family's name).
-FORMS = (
-    ("identifier", 90, 1.0, "spdx license identifier {}"),
-    ("notice", 80, 0.95, "(?:licensed|released|distributed|published|available|redistributed|relicensed) under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
-    ("terms", 70, 0.9, "(?:under|subject to|according to|governed by) the (?:terms|conditions)(?: and conditions)? of the {}(?: licen[cs]e)?"),
-    ("grant", 60, 0.85, "(?:under|uses?|see|with|by) (?:the |an? )?{} licen[cs]e"),
-    ("field", 50, 0.8, "licen[cs]e (?:is |type |name )?(?:the )?{}"),
-    ("title", 40, 0.6, "{}(?: public)? licen[cs]e"),
-    ("link", 30, 0.5, "(?:opensource org licenses|spdx org licenses|choosealicense com licenses) {}"),
-)
-#: Families whose name says enough without the word license.
-NAMED = ("apache-2", "gpl-2", "gpl-3", "lgpl-2.1", "lgpl-3", "agpl-3", "mpl-2", "epl-2", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd")
-
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A necessary condition, on the raw text, of every base phrase and rule.
-PREFILTER = r"(?i)licen[cs]e|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|attribution)|creative[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+commons|gnu[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:general|lesser|affero)|unlicense|(?:apache|mozilla|eclipse)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]|(?:licensed|released|distributed|published|available)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+under|(?:terms|conditions)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+of"
-
-
-def signature_rules() -> list[dict]:
-    """All rules in order: by priority, then form, then family."""
-    rules = []
-    for _, priority, confidence, form in FORMS:
-        for label, keyword, name in FAMILIES:
-            rules.append({"label": label, "keyword": keyword, "priority": priority, "confidence": confidence, "pattern": f"(?<= )(?:{form.replace('{}', name)})(?= )"})
-    for label, keyword, name in FAMILIES:
-        if label in NAMED:
-            rules.append({"label": label, "keyword": keyword, "priority": 20, "confidence": 0.4, "pattern": f"(?<= )(?:{name})(?= )"})
-    return [r | {"nth": n} for n, r in enumerate(rules)]
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Matches of a rule whose places are summed up at a time.
+CHUNK = 256
+
+
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def words_text(text: Column) -> Column:
@@ -108,12 +42,75 @@ def _count_spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" ")))
 
 
+def _worth_reading(text: Column) -> Column:
+    """A necessary condition, on the raw text, of every base phrase and rule."""
+    low = F.lower(text)
+    some = [F.contains(low, F.lit(stem)) for stem in STEMS]
+    some += [F.contains(low, F.lit(word)) & low.rlike(f"(?:^|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]){word}") for word in BEGINNINGS]
+    return reduce(lambda a, b: a | b, some)
+
+
+def _hits(w: Column) -> Column:
+    """The rules that match, each with the texts of its matches."""
+    sections: dict[str, list[Column]] = {}
+    for r in rules():
+        found = F.regexp_extract_all(w, F.lit(r["pattern"]), F.lit(0))
+        hit = F.struct(F.lit(r["nth"]).alias("nth"), F.lit(r["label"]).alias("label"), F.lit(r["priority"]).alias("priority"), F.lit(r["confidence"]).alias("confidence"), F.lit(r["pattern"]).alias("pattern"), found.alias("found"))
+        sections.setdefault(r["keyword"], []).append(hit)
+    by_section = [F.when(F.contains(w, F.lit(keyword)), F.filter(F.array(*hits), lambda h: F.size(h["found"]) > 0)) for keyword, hits in sections.items()]
+    return F.flatten(F.array_compact(F.array(*by_section)))
+
+
+def _places(w: Column, hit: Column) -> Column:
+    """begin, minus stop, minus priority, nth, label and confidence of every place where a rule matches."""
+    found = hit["found"]
+    pairs = F.zip_with(F.slice(F.split(w, hit["pattern"], -1), 1, F.size(found)), found, lambda b, f: F.struct(F.length(b).alias("gap"), F.length(f).alias("n")))
+    # appending is quadratic in what an array holds, so chunks are summed up first and their places then laid out
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / F.lit(CHUNK)).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, CHUNK))
+    total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda acc, x: acc + x["gap"] + x["n"])
+    none = F.array().cast("array<int>")
+    starts = F.aggregate(F.transform(chunks, total), F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+    empty = F.array().cast(f"array<{PLACE}>")
+
+    def laid_out(chunk: Column, start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            begin, stop = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["n"]
+            place = F.struct(begin.alias("begin"), (-stop).alias("minus_stop"), (-hit["priority"]).alias("minus_priority"), hit["nth"].alias("nth"), hit["label"].alias("label"), hit["confidence"].alias("confidence"))
+            return F.struct(stop.alias("at"), F.array_append(acc["out"], place).alias("out"))
+
+        return F.aggregate(chunk, F.struct(start.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    return F.flatten(F.zip_with(chunks, starts, laid_out))
+
+
+PLACE = "struct<begin:int,minus_stop:int,minus_priority:int,nth:int,label:string,confidence:double>"
+
+
+def _kept(found: Column) -> Column:
+    """labels and certainty of the places that no other suppresses.
+
+    Sorted, a place comes after all that hold it and outrank it, so it goes if one of its priority or a higher one, met
+    before, stops no earlier. stops is the furthest stop at each priority or a higher one."""
+    levels = sorted({r["priority"] for r in rules()}, reverse=True)
+    start = F.struct(F.array(*[F.lit(-1)] * len(levels)).alias("stops"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("certainty"))
+
+    def step(acc: Column, p: Column) -> Column:
+        stop, level = -p["minus_stop"], F.array_position(F.array(*[F.lit(-x) for x in levels]), p["minus_priority"]).cast("int")
+        keep = F.get(acc["stops"], level - 1) < stop
+        stops = F.transform(acc["stops"], lambda s, n: F.when(n + 1 >= level, F.greatest(s, stop)).otherwise(s))
+        labels = F.when(keep & ~F.array_contains(acc["labels"], p["label"]), F.array_append(acc["labels"], p["label"])).otherwise(acc["labels"])
+        return F.struct(stops.alias("stops"), labels.alias("labels"), F.when(keep, F.greatest(acc["certainty"], p["confidence"])).otherwise(acc["certainty"]).alias("certainty"))
+
+    return F.aggregate(F.array_sort(found), start, step)
+
+
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep of every row with n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    text = F.col(text_col)
-    df = docs.select(*keep, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), F.when(text.rlike(PREFILTER), words_text(text)).alias("__w"))
+    keep = [c for c in keep if c not in RESULTS]
+    text, kept = F.col(f"`{text_col}`"), [F.col(f"`{c}`") for c in keep]
+    df = docs.select(*kept, word_count(text, SEPARATORS).alias("n_words"), F.when(_worth_reading(text), words_text(text)).alias("__w"))
     # base phrases: what stands before, between and after their places
-    df = df.select(*keep, "n_words", "__w", *[F.when(F.instr("__w", f" {phrase} ") > 0, F.split("__w", f"(?<= ){phrase}(?= )", -1)).alias(f"__b{n}") for n, (phrase, _) in enumerate(BASE)])
+    df = df.select(*kept, "n_words", "__w", *[F.when(F.instr("__w", f" {phrase} ") > 0, F.split("__w", f"(?<= ){phrase}(?= )", -1)).alias(f"__b{n}") for n, (phrase, _) in enumerate(BASE)], F.when(F.col("__w").isNotNull(), _hits(F.col("__w"))).alias("__hits"))
     parts = [F.col(f"__b{n}") for n in range(len(BASE))]
     sizes = [len(phrase.split()) for phrase, _ in BASE]
     n_base = sum((F.when(p.isNull(), F.lit(0)).otherwise(F.size(p) - 1) for p in parts), F.lit(0))
@@ -121,33 +118,11 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     first = F.array_min(F.array(*[_count_spaces(F.get(p, F.lit(0))) - 1 for p in parts]))
     last = F.array_max(F.array(*[F.col("n_words") - (_count_spaces(F.element_at(p, -1)) - 1) - n for p, n in zip(parts, sizes, strict=True)]))
     base = F.filter(F.array(*[F.when(p.isNotNull(), F.lit(label)) for p, (_, label) in zip(parts, BASE, strict=True)]), lambda x: x.isNotNull())
-    df = df.select(*keep, "n_words", n_base.cast("long").alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), base.alias("__base"), "__w", F.array_distinct(F.regexp_extract_all("__w", F.lit("(?<= )(" + "|".join(sorted({x for _, k, _ in FAMILIES for x in (k, *ALSO.get(k, ()))})) + ")(?= )"), F.lit(1))).alias("__keys"))
-    schema = "array<struct<label string, keywords array<string>, priority int, confidence double, pattern string, nth int>>"
-    rules = F.from_json(F.lit(json.dumps([r | {"keywords": [r["keyword"], *ALSO.get(r["keyword"], ())]} for r in signature_rules()])), schema)
-    w, keys = F.col("__w"), F.col("__keys")
-    active = F.filter(rules, lambda r: F.arrays_overlap(keys, r["keywords"]) & F.rlike(w, r["pattern"]))
-    df = df.withColumn("__rules", F.when(F.size(keys) > 0, active))
-
-    def places(r: Column) -> Column:
-        """begin and stop of every place where a rule matches."""
-        found = F.regexp_extract_all(w, r["pattern"], F.lit(0))
-        between = F.split(w, r["pattern"], -1)
-        pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, f: F.struct(F.length(b).alias("gap"), F.length(f).alias("n")))
-        none = F.array().cast("array<struct<begin:int,stop:int,label:string,priority:int,confidence:double,nth:int>>")
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("begin"), (acc["at"] + x["gap"] + x["n"]).alias("stop"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence"), r["nth"].alias("nth"))).alias("out"))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
-
-    df = df.withColumn("__found", F.flatten(F.transform("__rules", places)))
-    found = F.col("__found")
-    length = lambda x: x["stop"] - x["begin"]
-    outranks = lambda o, d: (o["priority"] > d["priority"]) | ((o["priority"] == d["priority"]) & ((length(o) > length(d)) | ((length(o) == length(d)) & (o["nth"] < d["nth"]))))
-    inside = lambda d, o: (o["begin"] <= d["begin"]) & (o["stop"] >= d["stop"])
-    df = df.withColumn("__kept", F.coalesce(F.filter(found, lambda d: ~F.exists(found, lambda o: inside(d, o) & outranks(o, d))), F.array().cast("array<struct<begin:int,stop:int,label:string,priority:int,confidence:double,nth:int>>")))
-    kept = F.col("__kept")
-    labels = F.array_sort(F.array_distinct(F.concat("__base", F.transform(kept, lambda d: d["label"]))))
-    certainty = F.greatest(F.coalesce(F.array_max(F.transform(kept, lambda d: d["confidence"])), F.lit(0.0)), F.when(F.size("__base") > 0, F.lit(0.95)).otherwise(F.lit(0.0)))
-    return df.select(*keep, "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("__base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), certainty.alias("score"))
+    places = F.flatten(F.transform("__hits", lambda hit: _places(F.col("__w"), hit)))
+    df = df.select(*kept, "n_words", n_base.cast("long").alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), base.alias("__base"), F.when(F.size("__hits") > 0, _kept(places)).alias("__kept"))
+    labels = F.array_sort(F.array_distinct(F.concat("__base", F.coalesce(F.col("__kept.labels"), F.array().cast("array<string>")))))
+    certainty = F.greatest(F.coalesce(F.col("__kept.certainty"), F.lit(0.0)), F.when(F.size("__base") > 0, F.lit(0.95)).otherwise(F.lit(0.0)))
+    return df.select(*kept, "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("__base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), certainty.alias("score"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,13 +130,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB SQL, but for ALSO: it runs a rule only where the first keyword stands. Its regexes cannot look around, so every word gets a space of its own on both sides."""
+    """The same in DuckDB SQL, pair by pair. Its regexes cannot look around, so every word gets a space of its own on both sides."""
 
     def spaced(pattern: str) -> str:
         core = pattern.removeprefix("(?<= )").removesuffix("(?= )")
         return " " + core.replace(" ?", "\x01").replace(" ", "  ").replace("\x01", "(?:  )?") + " "
 
-    rules = ",\n".join(f"({r['nth']}, '{r['label']}', '{r['keyword']}', {r['priority']}, {r['confidence']}::DOUBLE, '{spaced(r['pattern'])}')" for r in signature_rules())
+    listed = ",\n".join(f"({r['nth']}, '{r['label']}', '{r['keyword'].replace(' ', '  ')}', {r['priority']}, {r['confidence']}::DOUBLE, '{spaced(r['pattern'])}')" for r in rules())
     base = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in BASE)
     return rf"""
 WITH d AS (
@@ -174,9 +149,9 @@ WITH d AS (
 ), bb AS (
   SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM b GROUP BY rid
 ), rules(nth, label, keyword, priority, confidence, rx) AS (VALUES
-{rules}
+{listed}
 ), m AS (
-  SELECT rid, rules.*, regexp_extract_all(n, rx) AS ms, regexp_split_to_array(n, rx) AS ps FROM n JOIN rules ON contains(n, ' ' || keyword || ' ') AND regexp_matches(n, rx)
+  SELECT rid, rules.*, regexp_extract_all(n, rx) AS ms, regexp_split_to_array(n, rx) AS ps FROM n JOIN rules ON contains(n, keyword) AND regexp_matches(n, rx)
 ), f AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m), g AS (
   SELECT rid, nth, label, priority, confidence, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s, length(ms[i]) AS size FROM f
 ), k AS (

@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import load, materialize
+from .common import load, materialize, word_count
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
-WORD = r"[^\x20\x09-\x0D]+"
+SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def ranges(df: DataFrame, order: list, label: str) -> DataFrame:
@@ -72,7 +72,7 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float = MAX_EPOCHS)
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED, extra: dict | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of docs (and the columns of extra)."""
     extra = extra or {}
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    size = word_count(F.col("text"), SEPARATORS)
     sized = materialize(docs.select("doc_id", "source", size.alias("size"), *[e.alias(k) for k, e in extra.items()]), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = numbered(sources, [F.col("source").asc_nulls_last()], "sources")

@@ -7,13 +7,13 @@ import re
 import numpy as np
 import pytest
 
-from claimloom.llm import html_text, language, licenses, quality, rules
+from claimloom.llm import html_text, language, license_rules, licenses, quality, rules
 
 from .fixtures import prose, rows, table
 
 
 def test_license_scan_agrees_with_brute_force(spark):
-    signatures = [(r, re.compile(r["pattern"])) for r in licenses.signature_rules()]
+    signatures = [(r, re.compile(r["pattern"])) for r in license_rules.rules()]
     assert 200 < len(signatures) < 600
     word, low = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = [r[1] for r in rows()] + ["see cc by-nc, CC BY NC 4.0; under the MIT license", "gnu general public license v3 under the terms of the GNU Lesser General Public License version 2.1", "under the mit license under the mit license", "écc by nc"]
