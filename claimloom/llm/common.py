@@ -43,13 +43,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and lost executors cost no recomputation.
 
     A written table rather than checkpoint(): the latter computes its input twice."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -83,10 +83,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seen = tokens.worker_encoder(tokenizer), TaskContext.get().partitionId(), {}
-        for ids, texts in tokens.grouped(batches, 1, group_bytes):
+        part, seen = TaskContext.get().partitionId(), {}
+        for ids, found in tokens.encoded_groups(batches, tokenizer, group_bytes):
             rows: list[tuple] = []
-            for doc_id, raw in zip(ids, encoder.encode(texts), strict=True):
+            for doc_id, raw in zip(ids, found, strict=True):
                 n, start, piece = len(raw) // 4, 0, 0
                 while start < n:
                     length = (n - start) % max_len or max_len

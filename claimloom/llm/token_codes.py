@@ -112,14 +112,13 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, nth = tokens.worker_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        kind = encoder.id_type()
-        for ids, texts, hashes in tokens.grouped(batches, 1, also=2):
-            codes = [np.frombuffer(raw, "<u4").astype(kind).tobytes() for raw in encoder.encode(texts)]
+        part, nth, kind = TaskContext.get().partitionId(), 0, tokens.worker_encoder(tokenizer).id_type()
+        for ids, found, hashes in tokens.encoded_groups(batches, tokenizer, also=2):
+            codes = [np.frombuffer(raw, "<u4").astype(kind).tobytes() for raw in found]
             row = [ids, hashes, np.full(len(ids), part), nth + np.arange(len(ids)), codes]
             nth += len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-            del codes, row
+            del found, codes, row
             pa.default_memory_pool().release_unused()
 
     text = F.col(text_col)
@@ -134,7 +133,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     shard_start counts the ids before a segment within its shard. Parquet is only the container: it gives atomic,
     retried commits on any store that Spark writes."""
     order = ["id", "hash", "part", "nth"]
-    ordered = materialize(encoded(docs, tokenizer, id_col, text_col), "encoded").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = materialize(encoded(docs, tokenizer, id_col, text_col), "encoded", "zstd").repartitionByRange(*order).sortWithinPartitions(*order)
     schema = arrow_schema(SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
