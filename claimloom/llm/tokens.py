@@ -1,6 +1,6 @@
 """Whole-text encoding with a public tokenizer, each distinct piece of a group of texts encoded once.
 
-Pieces met before in a task are kept (at most KNOWN_PIECES of them), so that small groups cost no more than large ones.
+Pieces met before are kept (at most KNOWN_PIECES of them a worker), so that small groups cost no more than large ones.
 
 The vocabulary's pre-tokenizer lets a token span a space only as its first character, and no token crosses a space or
 line break that has a non-space on both sides. A text in which every run of white space is one space or line break is
@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Bytes of text that are encoded at once; distinct pieces whose ids a task keeps.
-GROUP_BYTES, KNOWN_PIECES = 4 << 20, 400_000
+#: Bytes of text that are encoded at once; distinct pieces whose ids a worker keeps.
+GROUP_BYTES, KNOWN_PIECES = 4 << 20, 600_000
 #: What an encoder tries both ways before it cuts texts into pieces.
 PROBE = (
     "The quick brown fox, it's said. don't we'll I'm\nNext line here,\n",
@@ -87,14 +87,10 @@ class TextEncoder:
         self.line = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.marks = self._whole([".", ","])
         self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
-        self.forget()
-        self.by_pieces = True
-        self.by_pieces = self.encode(list(PROBE)) == [w.tobytes() + self.end for w in self._library(PROBE)]
-
-    def forget(self) -> None:
-        """Drops the known pieces: an idle worker holds none."""
         nothing = Pieces(np.zeros(0, "<u4"), np.zeros(0, np.int64))
         self.known = {space: (pa.array([], pa.large_string()), nothing) for space in (" ", "")}
+        self.by_pieces = True
+        self.by_pieces = self.encode(list(PROBE)) == [w.tobytes() + self.end for w in self._library(PROBE)]
 
     def id_type(self) -> str:
         """The NumPy type that holds every id (and the end id) of the vocabulary."""
@@ -235,10 +231,8 @@ def worker_encoder(path: str) -> TextEncoder:
 
 def encoded_groups(batches: Iterator[pa.RecordBatch], path: str, most: int = GROUP_BYTES, also: int | None = None) -> Iterator[tuple]:
     """What grouped() yields of (id, text) batches, with each text's ids (little-endian uint32, the end id last) for the text."""
-    encoder = worker_encoder(path)
     try:
         for ids, texts, *more in grouped(batches, 1, most, also):
-            yield ids, encoder.encode(texts), *more
+            yield ids, worker_encoder(path).encode(texts), *more
     finally:
-        encoder.forget()
         give_back()
