@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 EVIDENCE_NOW, EVENTS_NOW = "2002-01-01 00:00:00", "2024-01-31 00:00:00"
 
 
+#: Half-lives in days of the categories that have their own; None: evidence does not age.
+HALF_LIVES: dict[str, float | None] = {"1-URGENT": 180.0, "5-LOW": None}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -29,6 +33,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_discount") < 0.05).alias("quote_verified"),
         F.col("l_shipdate").alias("evidence_at"),
         F.when(F.col("l_linenumber") >= 6, F.col("l_linenumber")).alias("audience"),
+        (F.col("l_extendedprice") < 20000.0).alias("human"),
         F.when(F.col("l_linenumber") % 4 == 3, F.col("l_quantity") > 25).alias("version_match"),
     )
 
@@ -37,7 +42,7 @@ EVIDENCE_SQL = """SELECT l_orderkey AS claim_id, l_partkey AS observation_id, l_
   CASE WHEN l_returnflag = 'R' THEN 'contradicts' ELSE 'supports' END AS stance,
   CAST(round(l_tax * 100) AS INT) % 5 AS tier, l_linestatus = 'O' AS active, l_discount < 0.05::DOUBLE AS quote_verified,
   l_shipdate AS evidence_at, CASE WHEN l_linenumber >= 6 THEN l_linenumber END AS audience,
-  CASE WHEN l_linenumber % 4 = 3 THEN l_quantity > 25 END AS version_match
+  l_extendedprice < 20000.0::DOUBLE AS human, CASE WHEN l_linenumber % 4 = 3 THEN l_quantity > 25 END AS version_match
 FROM lineitem"""
 
 

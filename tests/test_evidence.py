@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from claimloom.operators.evidence import ScoringPolicy, asof_join, derive
+from claimloom.operators.evidence import ScoringPolicy, asof_join, derive, states_differ
 
 NOW = "2026-10-01 00:00:00"
 POLICY = ScoringPolicy(half_life_days=30.0)
@@ -38,6 +38,37 @@ def test_verification_ladder(spark):
     assert got[10]["support_score"] <= 1.2 and not got[11]["is_public"] and got[12]["is_public"]
 
 
+def test_claims_without_evidence_stay_and_are_retracted(spark):
+    c = spark.createDataFrame([(1, False, False, "active"), (2, True, False, "active"), (3, False, True, "active"), (4, False, False, "outdated"), (5, False, False, "active"), (6, False, False, "active")], CLAIMS + ", lifecycle string")
+    e = spark.createDataFrame([row(5, 4, "a", stance="contradicts"), row(6, 1, "a"), row(1, 4, "a", active=False)], EVIDENCE)
+    got = {r["claim_id"]: r for r in derive(c, e, POLICY, NOW).collect()}
+    assert {k: (r["lifecycle"], r["lifecycle_reason"]) for k, r in got.items()} == {1: ("retracted", "no_evidence"), 2: ("active", None), 3: ("retracted", "no_evidence"), 4: ("outdated", None), 5: ("retracted", "no_evidence"), 6: ("active", None)}
+    assert [got[i]["verification"] for i in range(1, 7)] == ["unverified", "verified", "disputed", "unverified", "unverified", "unverified"]
+    assert got[1]["support_score"] == 0 and got[2]["is_public"] and not got[1]["is_public"] and got[1]["audiences"] == []
+
+
+def test_categories_age_by_their_own_half_life(spark):
+    c = spark.createDataFrame([(i, False, False, k) for i, k in enumerate(("fast", "never", "other", None))], CLAIMS + ", category string")
+    e = spark.createDataFrame([row(i, 4, "a", days=30) for i in range(4)], EVIDENCE)
+    got = derive(c, e, POLICY, NOW, {"fast": 15.0, "never": None}).orderBy("claim_id").collect()
+    assert [r["support_score"] for r in got] == pytest.approx([0.25, 1.0, 0.5, 0.5])
+
+
+def test_human_evidence_needs_no_quote(spark):
+    e = spark.createDataFrame([(*row(i, 4, "a", days=0, quoted=False), h) for i, h in enumerate((True, False, None))], EVIDENCE + ", human boolean")
+    c = spark.createDataFrame([(i, False, False) for i in range(3)], CLAIMS)
+    assert [r["support_score"] for r in derive(c, e, POLICY, NOW).orderBy("claim_id").collect()] == [1.0, 0.5, 0.5]
+
+
+def test_stored_states_differ_in_any_part(spark):
+    kind = "claim_id long, verification string, basis string, is_public boolean, audiences array<int>, lifecycle string, support_score double"
+    base = ("verified", "human", True, [5, 6], "active", 1.0)
+    new = spark.createDataFrame([(i, *base) for i in range(8)], kind)
+    other = [base, ("disputed", *base[1:]), ("verified", None, *base[2:]), (*base[:2], False, *base[3:]), (*base[:3], [5], *base[4:]), (*base[:4], "retracted", 1.0), (*base[:5], 1.1), (*base[:3], [6, 5], "active", 1.0 + 1e-9)]
+    stored = spark.createDataFrame([(i, *o) for i, o in enumerate(other)], kind)
+    assert sorted(r["claim_id"] for r in states_differ(new, stored).collect()) == [1, 2, 3, 4, 5, 6]
+
+
 def test_weights(spark):
     got = run(spark, [row(1, 4, "a", days=0), row(2, 4, "a", days=30), row(3, 4, "a", days=0, quoted=False), row(4, 4, "a", days=0, version=False), row(5, 4, "a", days=5000)])
     assert [got[i]["support_score"] for i in range(1, 6)] == pytest.approx([1.0, 0.5, 0.5, 0.4, 0.2])
