@@ -84,15 +84,15 @@ def normalize(c: Column) -> Column:
     return F.array_join(tokens(c), " ")
 
 
-def _words(words: list[str]) -> Column:
-    """The folded words as one constant array."""
-    return F.split(F.lit(" ".join(sorted({fold_text(w) for w in words}))), " ")
+def _one_of(c: Column, words: list[str]) -> Column:
+    """Whether c is one of the folded words; a list of constants becomes a hash set."""
+    return c.isin(sorted({fold_text(w) for w in words}))
 
 
 def content_tokens(c: Column) -> Column:
     """Tokens without stop words; single characters only if they are digits."""
-    stop = _words(ENGLISH_STOPWORDS + GREEK_STOPWORDS + GREEKLISH_MARKERS)
-    return F.filter(tokens(c), lambda t: ~F.array_contains(stop, t) & ((F.length(t) > 1) | t.rlike(r"^\d+$")))
+    stop = ENGLISH_STOPWORDS + GREEK_STOPWORDS + GREEKLISH_MARKERS
+    return F.filter(tokens(c), lambda t: ~_one_of(t, stop) & ((F.length(t) > 1) | t.rlike(r"^\d+$")))
 
 
 def numbers(c: Column) -> Column:
@@ -112,7 +112,7 @@ def script(c: Column) -> Column:
 def language_style(c: Column) -> Column:
     """en, el or greeklish."""
     t = tokens(c)
-    hits, english = (F.size(F.filter(t, lambda x: F.array_contains(_words(w), x))) for w in (GREEKLISH_MARKERS, ENGLISH_STOPWORDS))  # noqa: B023
+    hits, english = (F.size(F.filter(t, lambda x: _one_of(x, w))) for w in (GREEKLISH_MARKERS, ENGLISH_STOPWORDS))  # noqa: B023
     greeklish = ((hits >= 2) & (hits > english)) | ((hits >= 1) & (F.size(t) <= 4) & (english == 0))
     return F.when(script(c) == "greek", "el").when(greeklish, "greeklish").otherwise("en")
 
@@ -120,14 +120,14 @@ def language_style(c: Column) -> Column:
 def supported_language(c: Column) -> Column:
     """el by script, en by the share of stop words among the tokens of the first 5000 characters, else null."""
     head = tokens(F.substring(c, 1, 5000))
-    share = F.size(F.filter(head, lambda x: F.array_contains(_words(ENGLISH_STOPWORDS), x))) / F.greatest(F.size(head), F.lit(1))
+    share = F.size(F.filter(head, lambda x: _one_of(x, ENGLISH_STOPWORDS))) / F.greatest(F.size(head), F.lit(1))
     s = script(c)
     return F.when(s == "greek", "el").when((s == "latin") & (share >= 0.12), "en")
 
 
 def is_question(c: Column) -> Column:
     t = F.trim(c)
-    return F.coalesce(t.rlike(r"[?;;]$") | F.array_contains(_words(INTERROGATIVES), F.get(tokens(t), F.lit(0))), F.lit(False))
+    return F.coalesce(t.rlike(r"[?;;]$") | _one_of(F.get(tokens(t), F.lit(0)), INTERROGATIVES), F.lit(False))
 
 
 def teach_prefix(c: Column) -> Column:
