@@ -173,16 +173,22 @@ def url_key(c: Column) -> Column:
     return F.concat(F.lower(F.parse_url(c, F.lit("PROTOCOL"))), F.lit("://"), F.lower(host), F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", ""), F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise(""))
 
 
+#: Second-level labels under which countries register names.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "govt", "ltd", "me", "mil", "ne", "net", "nhs", "or", "org", "plc", "sch")
+
+
 def registrable_domain(c: Column) -> Column:
-    """The last two labels of the host (no public-suffix list is at hand)."""
-    return F.regexp_extract(F.lower(F.parse_url(c, F.lit("HOST"))), r"([^.]+\.[^.]+)$", 1)
+    """The last two labels of the host, or three where a country registers names below such a label (no public-suffix list is at hand)."""
+    host = F.lower(F.parse_url(c, F.lit("HOST")))
+    third = F.regexp_extract(host, r"([^.]+\.(?:" + "|".join(SECOND_LEVEL) + r")\.[a-z]{2})$", 1)
+    return F.when(third != "", third).otherwise(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))
 
 
 def greeklish(c: Column) -> Column:
     """Greek words in Latin letters, the first letter's case kept."""
 
     def word(w: Column) -> Column:
-        low = fold(F.replace(w, F.lit("ß"), F.lit("ß")))
+        low = fold(w)
         for pair, latin in GREEK_PAIRS.items():
             low = F.replace(low, F.lit(pair), F.lit(latin))
         for letter, latin in GREEK_LETTERS.items():

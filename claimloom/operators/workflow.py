@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import json
 
 import pyarrow as pa
@@ -110,17 +112,23 @@ def rate_limit_sliding_greedy(spark, d, limit: int = 2, window_s: int = 21600):
     fresh = F.coalesce(F.col("t") - F.lag("t").over(by_time) > window_s, F.lit(True)).cast("int")
     e = e.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("t", "ascending"), ("event_id", "ascending")])
-        taken, ok = [], []
-        for t in table.column("t").to_pylist():
-            taken = [x for x in taken if x > t - window_s]
-            ok.append(len(taken) < limit)
-            if ok[-1]:
-                taken.append(t)
-        return pa.table({"event_id": table.column("event_id"), "accepted": pa.array(ok)})
-
-    return e.groupBy("user_id", "island").applyInArrow(walk, "event_id long, accepted boolean")
+    def walk(batches):
+        place, taken = None, deque()
+        for b in batches:
+            ok = []
+            for user, island, t in zip(*(b.column(n).to_pylist() for n in ("user_id", "island", "t")), strict=True):
+                if (user, island) != place:
+                    place, taken = (user, island), deque()
+                while taken and taken[0] <= t - window_s:
+                    taken.popleft()
+                ok.append(len(taken) < limit)
+                if ok[-1]:
+                    taken.append(t)
+            yield pa.RecordBatch.from_arrays([b.column("event_id"), pa.array(ok, pa.bool_())], names=["event_id", "accepted"])
+
+    # one walk over each task's islands in order; what it holds is the limit's own slots
+    dealt = e.select("user_id", "island", "t", "event_id").repartition("user_id", "island").sortWithinPartitions("user_id", "island", "t", "event_id")
+    return dealt.mapInArrow(walk, "event_id long, accepted boolean")
 
 
 #: Most generous of a user's role overrides; null stands for no limit.
@@ -212,15 +220,19 @@ def audit_chain_build(spark, d):
     ship_package(spark)
     a = _audit(spark, d).select("user_id", "chain_seq", "body")
 
-    def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chain_seq")
-        before, out = b"", []
-        for body in table.column("body").to_pylist():
-            before = hashlib.sha256(before + body.encode()).digest()
-            out.append(before.hex())
-        return table.select(["user_id", "chain_seq"]).append_column("row_hash", pa.array(out))
-
-    return a.groupBy("user_id").applyInArrow(walk, "user_id long, chain_seq int, row_hash string")
+    def walk(batches):
+        chain, before = None, b""
+        for b in batches:
+            out = []
+            for user, body in zip(b.column("user_id").to_pylist(), b.column("body").to_pylist(), strict=True):
+                if user != chain:
+                    chain, before = user, b""
+                before = hashlib.sha256(before + body.encode()).digest()
+                out.append(before.hex())
+            yield pa.RecordBatch.from_arrays([b.column("user_id"), b.column("chain_seq"), pa.array(out, pa.string())], names=["user_id", "chain_seq", "row_hash"])
+
+    # chains stream past in order; the last hash is all that a task holds
+    return a.repartition("user_id").sortWithinPartitions("user_id", "chain_seq").mapInArrow(walk, "user_id long, chain_seq int, row_hash string")
 
 
 def reconcile_actions(spark, d):

@@ -48,12 +48,24 @@ def ship_package(spark: SparkSession) -> None:
 _LOCAL: list[str] = []
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one on a local master, as
+    in tests; on any other master that is an error, as executors would each write to a disk of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.split("[")[0] == "local":
+        raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share; the master is {master}")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="claimloom-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return f"file://{_LOCAL[0]}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that the cluster names in spark.checkpoint.dir (a temporary one where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="claimloom-"))
-            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-        base = f"file://{_LOCAL[0]}"
-    return f"{base}/claimloom/{uuid.uuid4().hex}-{label}"
+    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/claimloom/{uuid.uuid4().hex}-{label}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop_path)
+    return path
