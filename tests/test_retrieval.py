@@ -1,4 +1,4 @@
-"""Retrieval asks every user turn, over passages and documents."""
+"""Retrieval asks every user turn of its query set, over passages and documents."""
 
 from __future__ import annotations
 
@@ -10,38 +10,38 @@ from claimloom import catalog
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("retrieval"))
-    turns = [(1, 0, "system", "obey"), (1, 1, "user", "copper turbines rusting"), (2, 0, "user", "amber lanterns"), (2, 1, "assistant", "yes"), (2, 2, "user", "velvet harbour")]
+    turns = [(20, 0, "system", "obey"), (20, 1, "user", "copper turbines rusting"), (40, 0, "user", "amber lanterns"), (40, 1, "assistant", "yes"), (40, 2, "user", "velvet harbour")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     spark.createDataFrame([(0, "amber lanterns glow"), (1, "velvet curtains")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(0, "copper turbines rusting slowly"), (1, "velvet harbour lights")], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
     return d
 
 
-@pytest.mark.parametrize("name", ["fts_topk_all", "trigram_topk_all", "rrf_fused_rank_all", "answers_all"])
+@pytest.mark.parametrize("name", ["fts_topk", "trigram_topk", "rrf_fused_rank", "answers"])
 def test_later_turns_and_documents_count(spark, small, name):
     rows = catalog.queries()[name](spark, small).collect()
     best = [r for r in (row.asDict() for row in rows) if r.get("rank", r.get("rn", 1)) == 1]
     first = {(r["question_id"], r["turn"]): (r["source"], r["claim_id"]) for r in best}
-    assert first == {(1, 1): ("documents", 0), (2, 0): ("benchmark", 0), (2, 2): ("documents", 1)}
+    assert first == {(20, 1): ("documents", 0), (40, 0): ("benchmark", 0), (40, 2): ("documents", 1)}
 
 
 def test_published_entries_are_ranked_among_themselves(spark, tmp_path):
     d = str(tmp_path)
-    spark.createDataFrame([(1, 0, "user", "amber lanterns")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(60, 0, "user", "amber lanterns")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     unpublished = [(n, "amber lanterns") for n in (1, 3, 5, 7, 9, 11)]
     spark.createDataFrame([*unpublished, (20, "amber lanterns glow over many quiet harbours")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(1, "amber lanterns")], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
-    assert [tuple(r) for r in catalog.queries()["faq_match_all"](spark, d).collect()] == [(1, 0, "benchmark", 20, 1.0, True)]
+    assert [tuple(r) for r in catalog.queries()["faq_match"](spark, d).collect()] == [(60, 0, "benchmark", 20, 1.0, True)]
 
 
 def test_weak_questions_reach_claims_by_vectors_and_fresh_claims_lead(spark, tmp_path):
     d = str(tmp_path)
     # "turbinescencefulness" is no prefix of a claim's word, and holds too few of its trigrams; both share a stem of five letters
-    spark.createDataFrame([(1, 0, "user", "turbinescencefulness"), (2, 0, "user", "lanterns")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(60, 0, "user", "turbinescencefulness"), (80, 0, "user", "lanterns")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     spark.createDataFrame([(0, "turbinology"), (4, "lanterns"), (364, "lanterns")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
-    rows = {(r["question_id"], r["rn"]): r for r in catalog.queries()["rrf_fused_rank_all"](spark, d).collect()}
-    assert rows[1, 1]["claim_id"] == 0
-    assert rows[2, 1]["claim_id"] == 4 and rows[2, 2]["claim_id"] == 364 and rows[2, 1]["score"] > 2 * rows[2, 2]["score"]
-    routes = {r["question_id"]: r["route"] for r in catalog.queries()["answers_all"](spark, d).collect()}
-    assert routes == {1: "fts:0,vector:1", 2: "fts:2"}
+    rows = {(r["question_id"], r["rn"]): r for r in catalog.queries()["rrf_fused_rank"](spark, d).collect()}
+    assert rows[60, 1]["claim_id"] == 0
+    assert rows[80, 1]["claim_id"] == 4 and rows[80, 2]["claim_id"] == 364 and rows[80, 1]["score"] > 2 * rows[80, 2]["score"]
+    routes = {r["question_id"]: r["route"] for r in catalog.queries()["answers"](spark, d).collect()}
+    assert routes == {60: "fts:0,vector:1", 80: "fts:2"}
