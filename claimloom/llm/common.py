@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path, ship_package
 
-#: Rows and bytes that one Arrow batch carries to a Python worker; texts may be long.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Rows and bytes that one Arrow batch carries to a Python worker, and rows that a Parquet scan holds; texts may be long.
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 1000, 16 << 20, 512
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,7 @@ def small_batches(spark: SparkSession) -> None:
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
