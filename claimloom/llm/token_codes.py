@@ -162,7 +162,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
         if parts:
             yield close()
 
-    ordered.mapInArrow(run, SEGMENTS).write.parquet(path)
+    ordered.mapInArrow(run, SEGMENTS).write.parquet(path, compression="zstd")
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
