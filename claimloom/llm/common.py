@@ -111,3 +111,19 @@ def map_texts(df: DataFrame, text: str, fields: str, make: Callable[[], Callable
 def id_hash_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; null ids count as remainder -1, so they are neither held out nor learned from."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1)).cast("int")
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the facts of their key; facts has one row a key, with the number of its rows in column n. Null is a key.
+
+    Keys that hold more than one in `spark.sql.shuffle.partitions` of all rows, of which there are fewer than that, are sent
+    to every task; the rest are shuffled, so no task gets the rows of a hot key. facts should be cheap to compute or written."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    facts = materialize(facts, "facts")
+    total = facts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = facts.where(F.col("n") * parts > total).withColumnRenamed(key, "__key")
+    rest = facts.where(F.col("n") * parts <= total).withColumnRenamed(key, "__key")
+    same = rows[key].eqNullSafe(F.col("__key"))
+    others = rows.join(F.broadcast(hot.select("__key")), same, "left_anti")
+    return rows.join(F.broadcast(hot), same).drop("__key", "n").unionByName(others.join(rest, same).drop("__key", "n"))
