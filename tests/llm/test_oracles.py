@@ -17,6 +17,7 @@ COLUMNS = {
     "op3_nearest_neighbours": "query_id:bigint rank:int vec_id:bigint score:double", "op4_simhash_near_dedup": "doc_id:bigint fingerprint:string component_id:bigint",
     "op5_best_fit_packing": "doc_id:bigint piece:int start:bigint length:bigint ids_crc32:bigint sequence_id:bigint offset:bigint",
     "op8_token_codes": "doc_id:bigint start:bigint n_tokens:bigint ids_crc32:bigint", "op10_language_id": "doc_id:bigint held_out:boolean lang_pred:string score:double",
+    "op11_secret_scan": "doc_id:bigint n_assign:bigint n_access:bigint n_hex:bigint base_sha256:string spans:string",
     "op9_quality_rules": "doc_id:bigint n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
 }
 
