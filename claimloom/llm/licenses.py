@@ -4,7 +4,11 @@ Rules (license_rules.py) are hand-written regexes over a text's lower-cased word
 identifiers, links and sentences say. Most documents hold none of the parts of words that every rule needs, and go no
 further; a rule runs only where its section's keyword stands, which each of its matches holds. Of the places that rules
 match, one inside another's interval goes if the outer one has the higher priority, or the same and is longer (or is
-earlier in the order of rules): one sweep over the places in order of their begin decides.
+earlier in the order of rules).
+
+The rules are one constant. Documents that hold a keyword meet the rules of its section as rows, their places become rows
+of numbers, and two windows over a document's places decide: running sums of gaps and lengths give where each place
+begins, and the furthest stop so far at each priority tells whether another place holds it. Only places are shuffled.
 
 Base phrases are counted apart from the rules, in all their places, and their labels always stay.
 
@@ -14,21 +18,19 @@ columns pass through or are ignored, and result columns replace kept ones of the
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import load, word_count
+from .common import load, materialize, word_count
 from .license_rules import BEGINNINGS, STEMS, rules
 
 #: Phrases whose places are counted, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Matches of a rule whose places are summed up at a time.
-CHUNK = 256
-
-
+RULE = "struct<nth: int, label: string, priority: int, confidence: double, pattern: string>"
 RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
@@ -50,79 +52,70 @@ def _worth_reading(text: Column) -> Column:
     return reduce(lambda a, b: a | b, some)
 
 
-def _hits(w: Column) -> Column:
-    """The rules that match, each with the texts of its matches."""
-    sections: dict[str, list[Column]] = {}
+def _sections() -> dict[str, list[dict]]:
+    """The rules by keyword."""
+    out: dict[str, list[dict]] = {}
     for r in rules():
-        found = F.regexp_extract_all(w, F.lit(r["pattern"]), F.lit(0))
-        hit = F.struct(F.lit(r["nth"]).alias("nth"), F.lit(r["label"]).alias("label"), F.lit(r["priority"]).alias("priority"), F.lit(r["confidence"]).alias("confidence"), F.lit(r["pattern"]).alias("pattern"), found.alias("found"))
-        sections.setdefault(r["keyword"], []).append(hit)
-    by_section = [F.when(F.contains(w, F.lit(keyword)), F.filter(F.array(*hits), lambda h: F.size(h["found"]) > 0)) for keyword, hits in sections.items()]
-    return F.flatten(F.array_compact(F.array(*by_section)))
-
+        out.setdefault(r["keyword"], []).append({k: r[k] for k in ("nth", "label", "priority", "confidence", "pattern")})
+    return out
 
-def _places(w: Column, hit: Column) -> Column:
-    """begin, minus stop, minus priority, nth, label and confidence of every place where a rule matches."""
-    found = hit["found"]
-    pairs = F.zip_with(F.slice(F.split(w, hit["pattern"], -1), 1, F.size(found)), found, lambda b, f: F.struct(F.length(b).alias("gap"), F.length(f).alias("n")))
-    # appending is quadratic in what an array holds, so chunks are summed up first and their places then laid out
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / F.lit(CHUNK)).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, CHUNK))
-    total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda acc, x: acc + x["gap"] + x["n"])
-    none = F.array().cast("array<int>")
-    starts = F.aggregate(F.transform(chunks, total), F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
-    empty = F.array().cast(f"array<{PLACE}>")
 
-    def laid_out(chunk: Column, start: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            begin, stop = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["n"]
-            place = F.struct(begin.alias("begin"), (-stop).alias("minus_stop"), (-hit["priority"]).alias("minus_priority"), hit["nth"].alias("nth"), hit["label"].alias("label"), hit["confidence"].alias("confidence"))
-            return F.struct(stop.alias("at"), F.array_append(acc["out"], place).alias("out"))
+def _constant(value, schema: str) -> Column:
+    """A nested constant of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
 
-        return F.aggregate(chunk, F.struct(start.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
-    return F.flatten(F.zip_with(chunks, starts, laid_out))
+def _places(read: DataFrame) -> DataFrame:
+    """row, begin, stop and the rule of every place that a rule matches; read has row, w and the numbers of its sections."""
+    by_section = _constant(list(_sections().values()), f"array<array<{RULE}>>")
+    met = read.select("row", "w", F.explode(F.flatten(F.transform("sections", lambda n: F.get(by_section, n)))).alias("rule"))
+    gaps, lengths = F.transform(F.split("w", F.col("rule.pattern"), -1), F.length), F.transform(F.regexp_extract_all("w", F.col("rule.pattern"), F.lit(0)), F.length)
+    places = met.select("row", "rule.nth", "rule.label", "rule.priority", "rule.confidence", gaps.alias("gaps"), lengths.alias("lengths")).where(F.size("lengths") > 0)
+    places = places.select("row", "nth", "label", "priority", "confidence", F.posexplode(F.zip_with(F.slice("gaps", 1, F.size("lengths")), "lengths", lambda g, n: F.struct(g.alias("gap"), n.alias("n")))).alias("k", "at"))
+    so_far = Window.partitionBy("row", "nth").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum(F.col("at.gap") + F.col("at.n")).over(so_far)
+    return places.repartition("row").withColumn("stop", stop).withColumn("begin", F.col("stop") - F.col("at.n"))
 
 
-PLACE = "struct<begin:int,minus_stop:int,minus_priority:int,nth:int,label:string,confidence:double>"
-
-
-def _kept(found: Column) -> Column:
-    """labels and certainty of the places that no other suppresses.
+def _kept(places: DataFrame) -> DataFrame:
+    """found (labels) and certainty of the rows with places that no other suppresses.
 
     Sorted, a place comes after all that hold it and outrank it, so it goes if one of its priority or a higher one, met
-    before, stops no earlier. stops is the furthest stop at each priority or a higher one."""
+    before, stops no earlier."""
+    before = Window.partitionBy("row").orderBy("begin", F.desc("stop"), F.desc("priority"), "nth").rowsBetween(Window.unboundedPreceding, -1)
     levels = sorted({r["priority"] for r in rules()}, reverse=True)
-    start = F.struct(F.array(*[F.lit(-1)] * len(levels)).alias("stops"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("certainty"))
-
-    def step(acc: Column, p: Column) -> Column:
-        stop, level = -p["minus_stop"], F.array_position(F.array(*[F.lit(-x) for x in levels]), p["minus_priority"]).cast("int")
-        keep = F.get(acc["stops"], level - 1) < stop
-        stops = F.transform(acc["stops"], lambda s, n: F.when(n + 1 >= level, F.greatest(s, stop)).otherwise(s))
-        labels = F.when(keep & ~F.array_contains(acc["labels"], p["label"]), F.array_append(acc["labels"], p["label"])).otherwise(acc["labels"])
-        return F.struct(stops.alias("stops"), labels.alias("labels"), F.when(keep, F.greatest(acc["certainty"], p["confidence"])).otherwise(acc["certainty"]).alias("certainty"))
-
-    return F.aggregate(F.array_sort(found), start, step)
+    furthest = F.array(*[F.max(F.when(F.col("priority") >= level, F.col("stop"))).over(before) for level in levels])
+    level = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col("priority")).cast("int")
+    held = F.coalesce(F.element_at("furthest", level) >= F.col("stop"), F.lit(False))
+    return places.withColumn("furthest", furthest).where(~held).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("confidence").alias("certainty"))
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep of every row with n_words, n_base, first_word, last_word, base_labels, labels and score."""
     keep = [c for c in keep if c not in RESULTS]
-    text, kept = F.col(f"`{text_col}`"), [F.col(f"`{c}`") for c in keep]
-    df = docs.select(*kept, word_count(text, SEPARATORS).alias("n_words"), F.when(_worth_reading(text), words_text(text)).alias("__w"))
+    text = F.col(f"`{text_col}`")
+    named = [f"k{n}" for n in range(len(keep))]  # names that clash with none of those below
+    df = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, named, strict=True)], word_count(text, SEPARATORS).alias("n_words"), F.when(_worth_reading(text), words_text(text)).alias("w"))
     # base phrases: what stands before, between and after their places
-    df = df.select(*kept, "n_words", "__w", *[F.when(F.instr("__w", f" {phrase} ") > 0, F.split("__w", f"(?<= ){phrase}(?= )", -1)).alias(f"__b{n}") for n, (phrase, _) in enumerate(BASE)], F.when(F.col("__w").isNotNull(), _hits(F.col("__w"))).alias("__hits"))
-    parts = [F.col(f"__b{n}") for n in range(len(BASE))]
+    df = df.select(*named, "n_words", "w", *[F.when(F.instr("w", f" {phrase} ") > 0, F.split("w", f"(?<= ){phrase}(?= )", -1)).alias(f"b{n}") for n, (phrase, _) in enumerate(BASE)])
+    parts = [F.col(f"b{n}") for n in range(len(BASE))]
     sizes = [len(phrase.split()) for phrase, _ in BASE]
     n_base = sum((F.when(p.isNull(), F.lit(0)).otherwise(F.size(p) - 1) for p in parts), F.lit(0))
     # a piece before a place opens and closes with a space, so it holds one space more than words
     first = F.array_min(F.array(*[_count_spaces(F.get(p, F.lit(0))) - 1 for p in parts]))
     last = F.array_max(F.array(*[F.col("n_words") - (_count_spaces(F.element_at(p, -1)) - 1) - n for p, n in zip(parts, sizes, strict=True)]))
     base = F.filter(F.array(*[F.when(p.isNotNull(), F.lit(label)) for p, (_, label) in zip(parts, BASE, strict=True)]), lambda x: x.isNotNull())
-    places = F.flatten(F.transform("__hits", lambda hit: _places(F.col("__w"), hit)))
-    df = df.select(*kept, "n_words", n_base.cast("long").alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), base.alias("__base"), F.when(F.size("__hits") > 0, _kept(places)).alias("__kept"))
-    labels = F.array_sort(F.array_distinct(F.concat("__base", F.coalesce(F.col("__kept.labels"), F.array().cast("array<string>")))))
-    certainty = F.greatest(F.coalesce(F.col("__kept.certainty"), F.lit(0.0)), F.when(F.size("__base") > 0, F.lit(0.95)).otherwise(F.lit(0.0)))
-    return df.select(*kept, "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("__base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), certainty.alias("score"))
+    keywords = _constant(list(_sections()), "array<string>")
+    numbers = F.filter(F.transform(keywords, lambda word, n: F.when(F.contains("w", word), n)), lambda n: n.isNotNull())
+    df = df.select(*named, "n_words", n_base.cast("long").alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"), base.alias("base"), "w", F.when(F.col("w").isNotNull(), numbers).alias("sections"))
+    some = F.coalesce(F.size("sections") > 0, F.lit(False))
+    df = materialize(df.withColumn("w", F.when(some, F.col("w"))).withColumn("row", F.monotonically_increasing_id()), "license-words")
+    read = df.where(F.col("w").isNotNull())
+    plain = df.where(F.col("w").isNull()).withColumn("found", F.lit(None).cast("array<string>")).withColumn("certainty", F.lit(None).cast("double"))
+    df = plain.drop("w", "sections", "row").unionByName(read.drop("w", "sections").join(_kept(_places(read)), "row", "left").drop("row"))
+    labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", F.array().cast("array<string>")))))
+    certainty = F.greatest(F.coalesce("certainty", F.lit(0.0)), F.when(F.size("base") > 0, F.lit(0.95)).otherwise(F.lit(0.0)))
+    return df.select(*[F.col(k).alias(c) for c, k in zip(keep, named, strict=True)], "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), certainty.alias("score"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
