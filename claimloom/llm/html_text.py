@@ -2,17 +2,20 @@
 
 The standard library's streaming parser turns a page into lines (blocks between block-level tags), each with its text, the
 part of it in links, the number of tags in it and its container. A line's text-to-tag ratio, links left out, is smoothed by
-a Gaussian over the neighbouring lines of its article, and raised to the ratio of its container taken as a whole, or, in
-an article or main element, of all such elements; a list of links stays at its own. The ratios are clustered by two means of
-their logarithms, and the lines of the upper cluster are the main text. Ratios beyond PROSE, the ratio of prose in any
-page, count as that, and ratios that differ by less than a factor of APART are one cluster.
+a Gaussian over the neighbouring lines of its article, and raised to the ratio of its container taken as a whole, to that
+of the nearest container around it that is mostly prose of its own (so lists and tables between paragraphs go with them), and, in
+an article or main element, to that of all such elements; a list of links no longer than LABEL on average, as in menus,
+stays at its own, as any list of links does outside. The ratios are clustered by two means of their logarithms, and the
+lines of the upper cluster are the main text. Ratios beyond PROSE, the ratio of prose in any page, count as that, and
+ratios that differ by less than a factor of APART are one cluster.
 
 What navigation, headers, footers, sidebars, notices, adverts, forms, comment sections, scripts and styles hold is no line.
 Of these, a form and an element that only its class or id tells are lines after all if they hold a main or article
 element, or most of the text of a page that has none; a first pass finds them.
 
 Cases: a null or empty page, or one without content, gives the empty string; omitted, unclosed and stray tags are taken as
-they come, in time and memory linear in the page; character references are decoded; a page without any markup is one
+they come, in time and memory linear in the page; declarations, marked sections and processing instructions end at the
+next >; a tag or comment that the page's end cuts off holds the rest of the page, as in browsers; character references are decoded; a page without any markup is one
 line per the same rules; repeated rows get equal results; other columns pass through or are ignored, and result columns
 replace kept ones of the same name."""
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import load, map_texts
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br img input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br img input script style".split())
 #: Blocks that are lines of their container, not containers.
 LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption pre summary figcaption address option".split())
 #: Elements that hold no main text; and those that hold none unless they hold the page.
@@ -50,6 +53,10 @@ HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Width of the smoothing in lines; the least factor between two clusters; the ratio of prose in any page.
 SIGMA, APART, PROSE = 1.0, 3.0, 60.0
+#: Characters of a link, on average, up to which a list of links is a menu.
+LABEL = 25
+COMMENT_END = re.compile("--!?>")
+END_TAG = re.compile(r"</([a-zA-Z][^\t\n\r\f />\x00]*)")
 
 
 def hinted(names: str) -> bool:
@@ -154,7 +161,7 @@ class _Lines(HTMLParser):
             self._end_head()
         block = self.stack[-1]
         if tag in INLINE:
-            if not (self.skips[1] or self.skips[2]):
+            if not (self.skips[1] or self.skips[2] or tag in SKIPPED):
                 self.tags += 1
             if tag == "br":
                 self.parts.append(" ")
@@ -210,7 +217,7 @@ class _Lines(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.stack[-1].tag == "head" and data.strip():
+        if self.stack[-1].tag == "head" and not self.stack[-1].inline and data.strip():
             self._end_head()
         if self.skips[2]:
             return
@@ -227,6 +234,40 @@ class _Lines(HTMLParser):
         super().close()
         self._end_line()
 
+    # What the page's end cuts off holds its rest, so that nothing is read twice.
+
+    def _after(self, close: str, i: int) -> int:
+        """The place after the next `close`, or the page's end."""
+        at = self.rawdata.find(close, i)
+        return len(self.rawdata) if at < 0 else at + len(close)
+
+    def parse_starttag(self, i: int) -> int:
+        k = super().parse_starttag(i)
+        return len(self.rawdata) if k < 0 else k
+
+    def parse_endtag(self, i: int) -> int:
+        name, stop = END_TAG.match(self.rawdata, i), self._after(">", i)
+        if name:
+            self.handle_endtag(name[1].lower())
+            self.clear_cdata_mode()
+        return stop
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        for empty in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(empty, i):
+                return i + len(empty)
+        end = COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._after(">", i + 2)
+
+    parse_pi = parse_html_declaration
+
+    def set_cdata_mode(self, elem: str) -> None:
+        self.cdata_elem = elem.lower()
+        self.interesting = re.compile(rf"</{self.cdata_elem}(?=[\s/>])", re.I)
+
 
 def smoothed(values: list[float], group: list[int], sigma: float = SIGMA) -> list[float]:
     """Gaussian-weighted means over neighbouring lines of the same group."""
@@ -259,31 +300,39 @@ def two_means(values: list[float]) -> tuple[float, float]:
 
 
 def line_ratios(lines: list[tuple[str, int, int, int]], parent: list[int], kind: list[str]) -> list[float]:
-    """The smoothed text-to-tag ratio of each line."""
+    """The smoothed and raised text-to-tag ratio of each line."""
     size = len(parent)
-    text, linked, tags = [0] * size, [0] * size, [0] * size
-    for line, in_links, n, node in lines:
+    text, linked, tags, count = [0] * size, [0] * size, [0] * size, [0] * size
+    prose = [0] * size  # characters of a container's own lines of prose, links left out
+    own = [(len(line) - in_links) / n for line, in_links, n, _ in lines]
+    for (line, in_links, n, node), ratio in zip(lines, own, strict=True):
         text[node] += len(line)
         linked[node] += in_links
         tags[node] += n
+        count[node] += 1
+        if ratio >= PROSE:
+            prose[node] += len(line) - in_links
+    menu = [2 * k > t and t <= LABEL * c for t, k, c in zip(text, linked, count, strict=True)]
     for n in range(size - 1, 0, -1):  # containers as a whole; body and html are their own lines alone
         if kind[parent[n]] not in ("", "html", "body"):
             for of in (text, linked, tags):
                 of[parent[n]] += of[n]
     whole = [(t - k) / max(1, g) for t, k, g in zip(text, linked, tags, strict=True)]
     article = [0] * size  # the outermost article or main element around each container
+    around = [0.0] * size  # the ratio of the nearest container, itself or around it, that is mostly prose of its own
     for n in range(1, size):
         article[n] = article[parent[n]] or n * (kind[n] in ("article", "main"))
+        mostly = prose[n] > 0 and 2 * prose[n] >= text[n] - linked[n]
+        around[n] = whole[n] if mostly else around[parent[n]] if kind[parent[n]] not in ("", "html", "body") else 0.0
     outermost = {n for n in article if n}
     articles = sum(text[n] - linked[n] for n in outermost) / max(1, sum(tags[n] for n in outermost))
-    own = [(len(line) - in_links) / n for line, in_links, n, _ in lines]
     near = smoothed(own, [article[node] for *_, node in lines])
     out = []
     for value, (line, in_links, _, node) in zip(near, lines, strict=True):
-        if 2 * linked[node] > text[node] and 2 * in_links > len(line):  # a list of links
+        if 2 * linked[node] > text[node] and 2 * in_links > len(line) and (menu[node] or not article[node]):  # a list of links
             out.append(whole[node])
         else:
-            out.append(max(value, whole[node], articles if article[node] else 0.0))
+            out.append(max(value, whole[node], around[node], articles if article[node] else 0.0))
     return out
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import random
 import time
+from xml.etree import ElementTree
 
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from claimloom.llm import html_text
 from claimloom.llm.html_text import main_text
@@ -64,14 +66,25 @@ def plain_ratios(parser) -> list[float]:
         own = [x for x in lines if article(x[3])]
         return sum(len(x[0]) - x[1] for x in own) / max(1, sum(x[2] for x in own))
 
+    def around(node):
+        """The ratio of the nearest container that is mostly prose of its own."""
+        for n in up(node):
+            if kind[n] in ("", "html", "body"):
+                return 0.0
+            prose = sum(len(x[0]) - x[1] for x in lines if x[3] == n and (len(x[0]) - x[1]) / x[2] >= html_text.PROSE)
+            if prose and 2 * prose >= sum(len(x[0]) - x[1] for x in lines if inside(n, x)):
+                return whole(n)
+
     out = []
     for i, line in enumerate(lines):
+        mine = [x for x in lines if x[3] == line[3]]
+        menu = 2 * sum(x[1] for x in mine) > sum(len(x[0]) for x in mine) and sum(len(x[0]) for x in mine) <= html_text.LABEL * len(mine)
         weights = [(math.exp(-((i - j) ** 2) / 2), (len(x[0]) - x[1]) / x[2]) for j, x in enumerate(lines) if abs(i - j) <= 2 and article(x[3]) == article(line[3])]
         own = [x for x in lines if inside(line[3], x)]
-        if 2 * sum(x[1] for x in own) > sum(len(x[0]) for x in own) and 2 * line[1] > len(line[0]):
+        if 2 * sum(x[1] for x in own) > sum(len(x[0]) for x in own) and 2 * line[1] > len(line[0]) and (menu or not article(line[3])):
             out.append(whole(line[3]))
         else:
-            out.append(max([sum(w * v for w, v in weights) / sum(w for w, _ in weights), whole(line[3])] + ([articles()] if article(line[3]) else [])))
+            out.append(max([sum(w * v for w, v in weights) / sum(w for w, _ in weights), whole(line[3]), around(line[3])] + ([articles()] if article(line[3]) else [])))
     return out
 
 
@@ -108,19 +121,84 @@ def test_ratios_and_choice_like_a_plain_version(seed):
         (f"<div class='commentList'><p>{LONG}</div><main>{LONG}<nav>a</nav></main></div></div>", LONG),
         (f"<article><header><h1>Head</h1></header><p>{LONG}</p></article><header>Site</header>", f"Head\n{LONG}"),
         ("</p></div>stray", "stray"),
+        ("<p>a</p><![foo[bar]]><p>b</p><!foo><![CDATA[x]]><?php echo ?><!-->c<!--->d", "a\nb\ncd"),
+        ("<p>one</p></><!-- two --!>three<script>x</script foo>four</ p>", "one\nthreefour"),
+        (f"<p>{LONG}</p><a <a <a ", LONG),
+        (f"<p>{LONG}</p><!-- cut off <p>{LONG}", LONG),
+        (f"<body><div><p>{LONG}<p>{LONG}<ul><li>one<li>two<li>three<li>four</ul><table><tr><td>a<td>b<tr><td>c<td>d</table><p>{LONG}</div><div><ul><li><a>Home</a><li><a>About</a></ul></div>", f"{LONG}\n{LONG}\none\ntwo\nthree\nfour\na\nb\nc\nd\n{LONG}"),
+        (f"<article><p>{LONG}<ul><li><a href=1>The first of the works that this text refers to</a><li><a href=2>Another work, by other hands</a></ul></article>", f"{LONG}\nThe first of the works that this text refers to\nAnother work, by other hands"),
     ],
 )
 def test_omitted_tags_and_wrappers(page, want):
     assert main_text(page) == want
 
 
-@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", "".join(f"<div>line {i} of it" for i in range(20_000)), "<p>" + "<b>" * 20_000 + "x" + "</i>" * 20_000, "<div class=ad>x" * 20_000, "<ul><li>x" * 10_000, "</div>" * 20_000 + "<a>x" * 20_000])
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", "".join(f"<div>line {i} of it" for i in range(20_000)), "<p>" + "<b>" * 20_000 + "x" + "</i>" * 20_000, "<div class=ad>x" * 20_000, "<ul><li>x" * 10_000, "</div>" * 20_000 + "<a>x" * 20_000, "<a <a " * 100_000, "<a b='>" * 50_000, "<a b=' " * 100_000, "<!-- " * 100_000, "<![x " * 100_000, "</a " * 100_000, "<script>" * 50_000, "&amp" * 100_000])
 def test_hostile_pages_take_linear_time(page):
     began = time.process_time()
     main_text(page)
     assert time.process_time() - began < 2
 
 
+@given(st.lists(st.sampled_from(["<", ">", "/", "!", "-", "--", "[", "]", "?", "=", "'", '"', " ", "\n", "&", ";", "#", "&amp;", "&#0;", "a", "p", "div", "script", "<p>", "</p>", "<div class=ad>", "<!--", "-->", "<![", "\x00", "é"]), max_size=60).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_any_page_gives_text(page):
+    text = main_text(page)
+    assert text == "\n".join(" ".join(line.split()) for line in text.split("\n")) and main_text(page) == text
+
+
+@given(st.binary(max_size=300), st.integers(1, 3000))
+@settings(max_examples=30, deadline=None)
+def test_random_bytes_take_linear_time(raw, n):
+    page = (raw.decode("latin-1") or "<") * n
+    page = (page * (1 + 1_000_000 // len(page)))[:1_000_000]
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 5
+
+
+BLOCKS = ("p", "div", "section", "article", "ul", "li", "table", "tr", "td")
+
+
+def random_tree(seed: int) -> str:
+    """A page with every tag closed, which a parser of XML reads as well."""
+    rng = random.Random(seed)
+    words = lambda: " ".join(rng.choice(["alpha", "be&amp;e", "gammas\n", "&lt;of"]) for _ in range(rng.randrange(5)))
+
+    def inner(tag: str, depth: int) -> str:
+        if tag == "p" or depth > 4:
+            return words() + f"<a>{words()}</a>" * rng.randrange(2) + f" <b>{words()}</b>" * rng.randrange(2) + words()
+        under = {"ul": ["li"], "table": ["tr"], "tr": ["td"]}.get(tag, ["p", "div", "section", "ul", "table"])
+        return "".join((words() if tag not in ("ul", "table", "tr") else "") + f"<{t}>{inner(t, depth + 1)}</{t}>" for t in rng.choices(under, k=rng.randrange(4)))
+
+    return f"<body>{inner('div', 0)}</body>"
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_lines_like_a_parser_of_xml(seed):
+    page, out, held = random_tree(seed), [], []
+
+    def end():
+        text = " ".join("".join(t for t, _ in held).split())
+        if text:
+            out.append((text, min(sum(len(t.strip()) for t, linked in held if linked), len(text))))
+        held.clear()
+
+    def walk(node, linked):
+        block = node.tag not in ("a", "b")
+        if block:
+            end()
+        held.append((node.text or "", linked or node.tag == "a"))
+        for child in node:
+            walk(child, linked or node.tag == "a")
+            held.append((child.tail or "", linked or node.tag == "a"))
+        if block:
+            end()
+
+    walk(ElementTree.fromstring(page), False)
+    assert [(text, in_links) for text, in_links, *_ in lines_of(page).lines] == out
+
+
 def test_no_pages_and_clashing_names(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars long")
     got = html_text.with_main_text(empty, ["page_id", "text", "n_chars"])
