@@ -129,48 +129,68 @@ class SuffixAutomaton:
     def phrases(self, grid: np.ndarray, lengths: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Phrases of the text that begins in each block, for blocks in columns of grid, longest first.
 
-        after is the block that follows in the same text, or -1; a block that one follows is as long as grid."""
+        after is the block that follows in the same text, or -1; a block that one follows is as long as grid. Entries of
+        blocks that others precede are not defined."""
         n = len(lengths)
         state = np.zeros(n, dtype=np.int32)
         begins = np.zeros(grid.shape, dtype=bool)
         open_at = np.searchsorted(-lengths, -np.arange(1, len(grid) + 1), side="right")  # blocks longer than step
         for at, m in enumerate(open_at.tolist()):
             state[:m], begins[at, :m] = self.step(state[:m], grid[at, :m])
-        count = begins.sum(axis=0)
-        # carry each parse on into the next block, until that one's own parse begins a phrase at the same place
-        target, extra, skipped = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        total = begins.sum(axis=0)
+        # carry each block's parse on through the next, until that one's own parse begins a phrase at the same place
         lane = np.flatnonzero(after >= 0)
-        block, state = after[lane], state[lane]
-        while len(lane):
-            skipped[lane] = 0
-            waiting = []  # parses that meet no block's own before the next block
-            for at in range(len(grid)):
-                ended = lengths[block] <= at
-                if ended.any():  # the text's end: what the carried parse found stands
-                    lane, block, state = lane[~ended], block[~ended], state[~ended]
-                if not len(lane):
-                    break
-                state, new = self.step(state, grid[at, block])
-                own = begins[at, block]
-                met = new & own
-                target[lane[met]] = block[met]
-                lane, block, state, new, own = lane[~met], block[~met], state[~met], new[~met], own[~met]
-                extra[lane] += new
-                skipped[lane] += own
-            follows = after[block] >= 0
-            waiting = lane[follows], after[block[follows]], state[follows]
-            lane, block, state = waiting
-        total = count.copy()
-        for first in np.flatnonzero(after >= 0).tolist():
-            at, total[first] = first, count[first]
+        met, more, left = np.zeros(n, dtype=bool), np.zeros(n, np.int64), np.zeros(n, np.int32)
+        if len(lane):
+            met[lane], more[lane], left[lane] = self._carried(grid, lengths, begins, after[lane], state[lane])
+        count = total.copy()
+        for head in np.setdiff1d(lane, after[lane]).tolist():
+            at = head
             while after[at] >= 0:
-                total[first] += extra[at]
-                if target[at] < 0:
-                    break
-                total[first] += count[target[at]] - skipped[at]
-                at = target[at]
+                total[head] += more[at]
+                if met[at]:
+                    at = after[at]
+                    total[head] += count[at]
+                    continue
+                found, now = False, left[at]
+                at = after[at]
+                while not found and after[at] >= 0:  # on through blocks that the parse does not join
+                    at = after[at]
+                    found, new, now = self._carried_on(grid[: lengths[at], at], begins[: lengths[at], at], int(now))
+                    total[head] += new + (count[at] if found else 0)
         return total
 
+    def _carried(self, grid: np.ndarray, lengths: np.ndarray, begins: np.ndarray, block: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For parses that come into blocks in these states: whether each meets the block's own, the phrases that it begins
+        before (less those of the block's own up to there, if it does), and its state after the block."""
+        met, more, skipped = np.zeros(len(block), dtype=bool), np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
+        left, lane, size = state.copy(), np.arange(len(block)), lengths[block]
+        for at in range(len(grid)):
+            lane = lane[size[lane] > at]
+            if not len(lane):
+                break
+            left[lane], new = self.step(left[lane], grid[at, block[lane]])
+            own = begins[at, block[lane]]
+            met[lane] = new & own
+            more[lane] += new & ~own
+            skipped[lane] += own & ~new
+            lane = lane[~(new & own)]
+        return met, more - np.where(met, skipped, 0), left
+
+    def _carried_on(self, symbols: np.ndarray, begins: np.ndarray, state: int) -> tuple[bool, int, int]:
+        """The same for one parse."""
+        base, owner, to, first = self.base, self.owner, self.to, self.first
+        more = skipped = 0
+        for symbol, own in zip(symbols.tolist(), begins.tolist(), strict=True):
+            at = base[state] + symbol
+            new = state == 0 or owner[at] != state
+            if new and own:
+                return True, more - skipped, 0
+            state = first[symbol] if owner[at] != state else to[at]
+            more += new
+            skipped += own
+        return False, more, int(state)
+
 
 class LanguageModel:
     """An automaton for each language, and what parsing needs."""
