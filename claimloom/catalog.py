@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.evidence", "operators.workflow", "operators.texts", "operators.retrieval", "operators.ingest", "operators.web", "operators.access", "operators.lifecycle", "streaming.flows", "sources.readers")
+MODULES = ("operators.evidence", "operators.workflow", "operators.texts", "operators.retrieval", "operators.extents", "operators.ingest", "operators.web", "operators.access", "operators.lifecycle", "streaming.flows", "sources.readers")
 
 
 def _collect(kind: str) -> dict:

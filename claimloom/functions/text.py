@@ -40,7 +40,8 @@ INTERROGATIVES = """
 TEACH_PREFIXES = ("learn:", "μάθε:", "μαθε:", "mathe:", "note:", "σημείωσε:", "shmeiwse:")
 GREEK_LETTERS = {"α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "ks", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "x", "ψ": "ps", "ω": "w"}
 GREEK_PAIRS = {"ου": "ou", "αι": "ai", "ει": "ei", "οι": "oi", "μπ": "mp", "ντ": "nt", "γκ": "gk"}
-GREEK_SPELLINGS = {"η": "i h", "θ": "th 8", "υ": "y i u", "χ": "x h ch", "ω": "w o", "ξ": "ks x", "ψ": "ps", "β": "v b", "ου": "ou u", "ει": "ei i", "οι": "oi i", "αι": "ai e", "μπ": "mp b", "ντ": "nt d", "γκ": "gk g", "φ": "f ph"}
+GREEK_SPELLINGS = {"η": ("i", "h"), "θ": ("th", "8"), "υ": ("y", "i", "u"), "χ": ("x", "h", "ch"), "ω": ("w", "o"), "ξ": ("ks", "x"), "ψ": ("ps",), "β": ("v", "b"), "ου": ("ou", "u"), "ει": ("ei", "i"), "οι": ("oi", "i"), "αι": ("ai", "e"), "μπ": ("mp", "b"), "ντ": ("nt", "d"), "γκ": ("gk", "g"), "φ": ("f", "ph")}
+# Patterns that results depend on.
 URL = r"https?://\S+"
 MENTION = r"<[@#][!&]?\d+>|<a?:\w+:\d+>"
 UNIT = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:%|h|hr|hrs|m|min|mins|s|sec|k|kk|x|lvl|level|ώρες|λεπτά|lepta|wres)\b"
@@ -89,10 +90,14 @@ def _one_of(c: Column, words: list[str]) -> Column:
     return c.isin(sorted({fold_text(w) for w in words}))
 
 
+def is_content(token: Column) -> Column:
+    """Whether a token is no stop word; single characters only if they are digits."""
+    return ~_one_of(token, ENGLISH_STOPWORDS + GREEK_STOPWORDS + GREEKLISH_MARKERS) & ((F.length(token) > 1) | token.rlike(r"^\d+$"))
+
+
 def content_tokens(c: Column) -> Column:
     """Tokens without stop words; single characters only if they are digits."""
-    stop = ENGLISH_STOPWORDS + GREEK_STOPWORDS + GREEKLISH_MARKERS
-    return F.filter(tokens(c), lambda t: ~_one_of(t, stop) & ((F.length(t) > 1) | t.rlike(r"^\d+$")))
+    return F.filter(tokens(c), is_content)
 
 
 def numbers(c: Column) -> Column:
@@ -212,7 +217,7 @@ def spellings(alias: str, limit: int = 24) -> list[str]:
     words = []
     for word in folded.split(" "):
         units = re.findall("|".join(GREEK_PAIRS) + "|.", word)
-        choices = [GREEK_SPELLINGS[u].split() if u in GREEK_SPELLINGS else [GREEK_PAIRS.get(u) or GREEK_LETTERS.get(u, u)] for u in units]
+        choices = [GREEK_SPELLINGS[u] if u in GREEK_SPELLINGS else [GREEK_PAIRS.get(u) or GREEK_LETTERS.get(u, u)] for u in units]
         words.append(["".join(p) for p in itertools.islice(itertools.product(*choices), limit)])
     return sorted({" ".join(p) for p in itertools.islice(itertools.product(*words), limit)})
 

@@ -86,9 +86,13 @@ def words_sql(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in sorted({X.fold_text(w) for w in words})) + "]"
 
 
-def content_sql(c: str) -> str:
+def is_content_sql(t: str) -> str:
     stop = words_sql(X.ENGLISH_STOPWORDS + X.GREEK_STOPWORDS + X.GREEKLISH_MARKERS)
-    return f"list_filter({tokens_sql(c)}, lambda t: NOT list_contains({stop}, t) AND (length(t) > 1 OR regexp_matches(t, '^[0-9]+$')))"
+    return f"NOT list_contains({stop}, {t}) AND (length({t}) > 1 OR regexp_matches({t}, '^[0-9]+$'))"
+
+
+def content_sql(c: str) -> str:
+    return f"list_filter({tokens_sql(c)}, lambda t: {is_content_sql('t')})"
 
 
 def script_sql(c: str) -> str:
