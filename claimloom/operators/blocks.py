@@ -11,17 +11,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path, ship_package
 
 #: Rows and Arrow bytes of a block at most (a single larger row is a block of its own).
-ROWS, BYTES = 1024, 4 << 20
+ROWS, BYTES = 256, 1 << 20
+#: Arrow bytes that go to a Python worker at a time, and rows that a Parquet scan holds.
+BATCH_BYTES, SCAN_ROWS = 8 << 20, 512
 #: Candidates that a task holds before it drops all but the best.
 HELD = 200_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Readies Python workers: sends the package and bounds what they hold at once. Session-wide; results never change."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
+
+
 def _ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -32,7 +41,7 @@ def _ipc(table: pa.Table) -> bytes:
 def packed(df: DataFrame, label: str, rows: int = ROWS, size: int = BYTES) -> DataFrame:
     """df as blocks: block (a number of its own) and data (an Arrow stream); written."""
     spark = df.sparkSession
-    ship_package(spark)
+    small_batches(spark)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, bulk = [], 0, 0
@@ -103,6 +112,7 @@ def meet(rows: DataFrame, asked: DataFrame, left: Callable[[pa.Table], object],
                 if len(found[group]):
                     held.append(found)
                     n += len(found[group])
+                pa.default_memory_pool().release_unused()
                 if n > HELD + 2 * least:
                     held = [pruned()]
                     n = least = len(held[0][group])
