@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 
 import json
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..plans.tables import EVENTS_NOW, read
 from ..session import ship_package
+from .ranges import rate_limit_sliding_greedy  # noqa: F401
 
 #: Fixed values of the latency histogram and of the queue's backoff.
 BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 40.0)
@@ -101,40 +101,6 @@ def rate_limit_sliding_count(spark, d):
     return e.select("event_id", F.count(F.lit(1)).over(w).alias("n"))
 
 
-def rate_limit_sliding_greedy(spark, d, limit: int = 2, window_s: int = 21600):
-    """Accepts a request if fewer than limit were accepted in the window before; rejected ones take no slot.
-
-    A user's requests fall into islands that are more than the window apart; only within one does order matter, so the
-    sequential part runs per island, not per user."""
-    ship_package(spark)
-    e = _events(spark, d).select("event_id", "user_id", _epoch("ts").alias("t"))
-    by_time = Window.partitionBy("user_id").orderBy("t", "event_id")
-    fresh = F.coalesce(F.col("t") - F.lag("t").over(by_time) > window_s, F.lit(True)).cast("int")
-    e = e.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def walk(batches):
-        place, taken = None, deque()
-        for b in batches:
-            ok = []
-            for user, island, t in zip(*(b.column(n).to_pylist() for n in ("user_id", "island", "t")), strict=True):
-                if (user, island) != place:
-                    place, taken = (user, island), deque()
-                while taken and taken[0] <= t - window_s:
-                    taken.popleft()
-                ok.append(len(taken) < limit)
-                if ok[-1]:
-                    taken.append(t)
-            yield pa.RecordBatch.from_arrays([b.column("event_id"), pa.array(ok, pa.bool_())], names=["event_id", "accepted"])
-
-    # one walk over each task's islands in order; what it holds is the limit's own slots
-    dealt = e.select("user_id", "island", "t", "event_id").repartition("user_id", "island").sortWithinPartitions("user_id", "island", "t", "event_id")
-    return dealt.mapInArrow(walk, "event_id long, accepted boolean")
-
-
-#: Most generous of a user's role overrides; null stands for no limit.
-ROLE_LIMITS = (("BUILDING", 5, None), ("MACHINERY", None, 50), ("HOUSEHOLD", 3, 20))
-
-
 def rate_limit_policy(spark, d):
     """Each principal's hour and day limits: the base, or the most generous of its roles'."""
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.array("c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "HOUSEHOLD")).alias("roles"))
@@ -449,7 +415,7 @@ def eval_confusion(spark, d):
     return a.select("tp", "fp", "fn", "tn", F.round(F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fn")), 6).alias("recall"))
 
 
-QUERIES = {f.__name__: f for f in (queue_stats, queue_claim_order, queue_prefix_caps, job_transitions, schedule_buckets, enqueue_once, usage_counters, rate_limit_tumbling, rate_limit_sliding_count, rate_limit_sliding_greedy, rate_limit_policy, latency_histogram, latency_percentiles, vote_tally, vote_quorum, label_stats, hash_sample, audit_verify, audit_digest, audit_chain_build, reconcile_actions, source_liveness, circuit_breaker, revision_history, current_revision, content_hash_changes, upsert_latest, upsert_merge_combine, upsert_keep_existing, retention, gdpr_purge, cascade_deactivation, json_merge, integrity_checks, config_diff, message_windows_tumbling, message_sessions, context_before, reply_join, interval_join, followup_lookup, context_budget, answer_cache, discovery_budget, eval_confusion)}
+QUERIES = {f.__name__: f for f in (queue_stats, queue_claim_order, queue_prefix_caps, job_transitions, schedule_buckets, enqueue_once, usage_counters, rate_limit_tumbling, rate_limit_sliding_count, rate_limit_policy, latency_histogram, latency_percentiles, vote_tally, vote_quorum, label_stats, hash_sample, audit_verify, audit_digest, audit_chain_build, reconcile_actions, source_liveness, circuit_breaker, revision_history, current_revision, content_hash_changes, upsert_latest, upsert_merge_combine, upsert_keep_existing, retention, gdpr_purge, cascade_deactivation, json_merge, integrity_checks, config_diff, message_windows_tumbling, message_sessions, context_before, reply_join, interval_join, followup_lookup, context_budget, answer_cache, discovery_budget, eval_confusion)}
 
 _AUDIT = """(SELECT user_id, event_id, body, CAST(row_number() OVER w AS INT) AS chain_seq, coalesce(sha256(lag(body) OVER w), '') AS prev_hash FROM
 (SELECT user_id, event_id, concat_ws(chr(31), strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), event_type, props) AS body FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
