@@ -28,6 +28,24 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize() wrote, when nothing reads it any more."""
+    for file in df.inputFiles()[:1]:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """A name for each of names that none of the columns has, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Readies Python workers: sends the package and bounds what they hold at once. Session-wide; results never change."""
     ship_package(spark)
@@ -113,17 +131,23 @@ def id_hash_mod(column: str, n: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1)).cast("int")
 
 
+#: Rows of a table that are sent to every task without a look at what its keys hold.
+FEW = 10_000
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """rows with the facts of their key; facts has one row a key, with the number of its rows in column n. Null is a key.
 
-    Keys that hold more than one in `spark.sql.shuffle.partitions` of all rows, of which there are fewer than that, are sent
+    Up to FEW facts are sent to every task. Of more, keys that hold more than one in `spark.sql.shuffle.partitions` of all rows, of which there are fewer than that, are sent
     to every task; the rest are shuffled, so no task gets the rows of a hot key. facts should be cheap to compute or written."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    facts = materialize(facts, "facts")
-    total = facts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    hot = facts.where(F.col("n") * parts > total).withColumnRenamed(key, "__key")
-    rest = facts.where(F.col("n") * parts <= total).withColumnRenamed(key, "__key")
-    same = rows[key].eqNullSafe(F.col("__key"))
-    others = rows.join(F.broadcast(hot.select("__key")), same, "left_anti")
-    return rows.join(F.broadcast(hot), same).drop("__key", "n").unionByName(others.join(rest, same).drop("__key", "n"))
+    name, count = unused([*rows.columns, *facts.columns], "join_key", "join_rows")
+    facts = materialize(facts.withColumnRenamed(key, name).withColumnRenamed("n", count), "facts")
+    same, size = rows[key].eqNullSafe(F.col(name)), F.col(count)
+    if facts.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(facts), same).drop(name, count)
+    total = facts.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot, rest = facts.where(size * parts > total), facts.where(size * parts <= total)
+    others = rows.join(F.broadcast(hot.select(name)), same, "left_anti")
+    return rows.join(F.broadcast(hot), same).unionByName(others.join(rest, same)).drop(name, count)

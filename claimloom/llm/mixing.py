@@ -10,13 +10,13 @@ sums over ranges of the hash order, so that a source with a third of all rows is
 
 Cases: a null or empty text has size 0 and takes 0; a source without words has target 0; null is a source of its own and
 the last; without words at all every target is 0; no rows give no rows; rows that repeat an id are separate documents,
-ordered by id, then size; other columns are ignored."""
+ordered by id, then size, then as they come (only the operator's own, as equal rows are alike); other columns are ignored."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import load, materialize, word_count
+from .common import load, materialize, spread_join, unused, word_count
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -69,34 +69,71 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float = MAX_EPOCHS)
     return sources.withColumn("target", target)
 
 
-def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED, extra: dict | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs (and the columns of extra)."""
-    extra = extra or {}
+def _order(doc_id, seed: str):
+    """The seeded hash that orders a source's documents."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+
+
+def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, and how it comes about (place of the source, order, before_it, whole,
+    rest), for every row of docs."""
     size = word_count(F.col("text"), SEPARATORS)
-    sized = materialize(docs.select("doc_id", "source", size.alias("size"), *[e.alias(k) for k, e in extra.items()]), "sizes")
+    # the row's number parts rows that repeat an id and a size, so that no range gets all of them
+    sized = materialize(docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = numbered(sources, [F.col("source").asc_nulls_last()], "sources")
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     sources = materialize(sources.withColumn("weight", pick), "weights")
     total = sized.agg(F.sum("size").alias("n")).first()["n"] or 0
-    targets = water_fill(sources, share * total, max_epochs).select(F.col("source").alias("__s"), "place", "source_size", "target")
-    rows = sized.join(targets, sized["source"].eqNullSafe(targets["__s"])).drop("__s")
-    rows = rows.withColumn("order", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    placed = running_before(rows, "place", ["order", "doc_id", "size", *extra], "size", "order")
+    counts = sized.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    targets = water_fill(sources, share * total, max_epochs)
+    targets = targets.join(counts, targets["source"].eqNullSafe(counts["s"])).select("source", "place", "source_size", "target", "n")
+    rows = spread_join(sized, targets, "source").withColumn("order", _order(F.col("doc_id"), seed))
+    placed = running_before(rows, "place", ["order", "doc_id", "size", "row"], "size", "order")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor("target").cast("long") - whole * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("before_it"), F.lit(0)), F.col("size"))
-    return placed.withColumn("taken", whole * F.col("size") + part).select("doc_id", "source", "size", "source_size", "target", "taken", *extra)
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, to the nearest whole; columns as they were."""
-    keys = {"__text": F.xxhash64("text")}
-    plan = mixture(docs, extra=keys, **options)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int")
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("__text")).agg(F.max(times).alias("__times"))
-    joined = docs.join(plan.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (F.xxhash64(docs["text"]) == F.col("__text")))
-    return joined.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*[docs[c] for c in docs.columns])
+    return placed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).alias("taken"), "place", "order", "before_it", whole.alias("whole"), rest.alias("rest"))
+
+
+def mixed_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, to the nearest whole; columns as they were.
+
+    A source's documents before a cut in its hash order are taken once more than those after it, so a row tells by itself,
+    from its source's cut, how often it is taken, and no text is shuffled. Only rows that equal the cut's own in id and size
+    (one, unless ids repeat) are numbered to tell which of them still fit."""
+    plan = materialize(mixture(docs, seed=seed, **options), "plan")
+    at = plan.where((F.col("size") > 0) & (F.col("before_it") <= F.col("rest")) & (F.col("rest") < F.col("before_it") + F.col("size"))).select("place", F.col("order").alias("cut"), F.col("size").alias("cut_size"))
+    tied = plan.join(at, "place").where((F.col("order") == F.col("cut")) & (F.col("size") == F.col("cut_size")))
+    ties = tied.groupBy("place", "cut", "cut_size").agg(F.min("before_it").alias("from"), F.count(F.lit(1)).alias("equal"))
+    sources = plan.groupBy("source", "place", "whole", "rest").agg(F.count(F.lit(1)).alias("n"))
+    cuts = materialize(sources.join(ties, "place", "left").drop("place"), "cuts")
+    own = {c: u for c, u in zip(("whole", "rest", "cut", "cut_size", "from", "equal", "size", "order", "number", "tied", "times", "copy"), unused(docs.columns, *[f"mix_{c}" for c in ("whole", "rest", "cut", "cut_size", "from", "equal", "size", "order", "number", "tied", "times", "copy")]), strict=True)}
+    col = {c: F.col(u) for c, u in own.items()}
+    key, = unused(docs.columns, "mix_source")
+    facts = cuts.select(F.col("source").alias(key), *[F.col(c).alias(own[c]) for c in ("whole", "rest", "cut", "cut_size", "from", "equal")], "n")
+    rows = docs.withColumn(own["size"], word_count(F.col("text"), SEPARATORS)).withColumn(own["order"], _order(F.col("doc_id"), seed)).withColumn(key, F.col("source"))
+    rows = spread_join(rows, facts, key)
+    rows = rows.withColumn(own["tied"], F.coalesce((col["order"] == col["cut"]) & (col["size"] == col["cut_size"]), F.lit(False)))
+    before = F.coalesce((col["order"] < col["cut"]) | ((col["order"] == col["cut"]) & (col["size"] < col["cut_size"])), F.lit(False))
+    part = F.least(F.greatest(col["rest"] - col["from"] - col["number"] * col["size"], F.lit(0)), col["size"])
+    nearest = F.floor(part / col["size"] + F.lit(0.5))
+
+    def copied(some: DataFrame) -> DataFrame:
+        times = F.when(col["size"] == 0, 0).when(col["tied"], col["whole"] + nearest).otherwise(col["whole"] + before.cast("int"))
+        some = some.withColumn(own["times"], times.cast("int")).where(col["times"] > 0)
+        return some.withColumn(own["copy"], F.explode(F.sequence(F.lit(1), col["times"]))).select(*docs.columns)
+
+    many = col["tied"] & (col["equal"] > 1)
+    out = copied(rows.where(~many).withColumn(own["number"], F.lit(0)))
+    if cuts.where("equal > 1").limit(1).count() == 0:
+        return out
+    name, = unused([*docs.columns, *own.values()], "mix_row")
+    equal = materialize(rows.where(many).withColumn(name, F.monotonically_increasing_id()), "equal-rows")
+    one = F.lit(1).cast("long")
+    numbers = running_before(equal.select(F.struct(F.col("source").alias("s")).alias("s"), F.col(name).alias("row"), one.alias("one")), "s", ["row"], "one", "equal-numbers")
+    numbers = numbers.select(F.col("row").alias(name), F.col("before_it").alias(own["number"]))
+    return out.unionByName(copied(equal.join(numbers, name)))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,14 +9,15 @@ at a time, and a leaf with more than LEAF_ROWS vectors is dealt into chunks that
 Equal vectors are one entry with its K+1 smallest ids, which is all that K neighbours other than the query's own row can
 need; so a vector that a third of all rows share costs no more than another.
 
-Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length is not
-the most frequent one; ties go to the smaller id; rows that repeat an id and its vector count once; with K candidates or
+Cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors are neighbours of those of
+their own length alone, as there is no distance to others, and each length is searched by itself; ties go to the smaller id; rows that repeat an id and its vector count once; with K candidates or
 fewer all are found; no queries or no rows give no rows; other columns are ignored."""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,11 +127,13 @@ def nearest(vectors: DataFrame, is_query, k: int = K, fit_rows: int = FIT_ROWS,
     nth = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
     firsts = valid.withColumn("n", nth).where(F.col("n") <= k + 1)
     entries = materialize(firsts.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("entry", F.element_at("ids", 1)), "entries")
-    usual = entries.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
-    if not usual:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, total = usual[0]["dims"], usual[0]["count"]
-    entries = entries.where(F.size("v") == dims)
+    parts = [_of_length(valid, entries.where(F.size("v") == dims), is_query, dims, total, k, fit_rows, trees, leaf, look_share, leaf_rows) for dims, total in sorted(map(tuple, entries.groupBy(F.size("v")).count().collect()))]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _of_length(valid: DataFrame, entries: DataFrame, is_query, dims: int, total: int, k: int, fit_rows: int, trees: int, leaf: int, look_share: float, leaf_rows: int) -> DataFrame:
+    """The same among the vectors of one length."""
+    spark = valid.sparkSession
     picked = spark.createDataFrame([(i,) for i, _ in smallest_hashes(entries.select(F.col("entry").alias("doc_id")), fit_rows)], "entry long")
     sample = sorted((r["entry"], r["v"]) for r in entries.select("entry", "v").join(F.broadcast(picked), "entry").collect())
     forest = spark.sparkContext.broadcast(Forest(np.array([v for _, v in sample], dtype=np.float64), total, trees, leaf))

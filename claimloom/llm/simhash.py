@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import load, map_texts, materialize, small_batches
+from .common import discard, load, map_texts, materialize, small_batches, spread_join
 
 WORDS, RADIUS, HASH_SEED = 3, 3, 42
 BUCKET, LEVELS = 1024, 3
@@ -152,8 +152,10 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(seen, "node").select("node", F.least("root", "near").alias("low"), F.col("root").alias("was"))
         of = labels.select(F.col("node").alias("low"), F.col("root").alias("next"))
         new = materialize(lower.join(of, "low", "left").select("node", F.least("low", F.coalesce("next", "low")).alias("root"), "was"), "labels")
+        discard(labels)
         labels = new.select("node", "root")
         if new.where("root <> was").limit(1).count() == 0:
+            discard(both)
             return labels
 
 
@@ -167,19 +169,19 @@ def fingerprinted(docs: DataFrame, keep: list[str], words: int = WORDS, text_col
 
 
 def fingerprint_components(marked: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
-    """fp, component_id (the smallest id reachable by links) and root (the smallest fingerprint of the component)."""
-    distinct = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
+    """fp, component_id (the smallest id reachable by links), root (the smallest fingerprint of the component) and n (the
+    rows of the fingerprint)."""
+    distinct = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links_within(distinct.select("fp"), radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return materialize(rooted.join(least, "root").select("fp", "component_id", "root"), "components")
+    return materialize(rooted.join(least, "root").select("fp", "component_id", "root", "n"), "components")
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns keep of every row with fp, component_id and root."""
     marked = fingerprinted(docs, list(dict.fromkeys([*keep, id_col])), words, text_col)
-    of = fingerprint_components(marked, radius, id_col).withColumnRenamed("fp", "__fp")
-    return marked.join(of, marked["fp"] == of["__fp"]).drop("__fp")
+    return spread_join(marked, fingerprint_components(marked, radius, id_col), "fp")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
