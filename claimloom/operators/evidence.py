@@ -96,10 +96,11 @@ def _supported(evidence_df: DataFrame, policy: ScoringPolicy, clocks: tuple[str,
     )
 
 
-def derive_at(claims_df: DataFrame, evidence_df: DataFrame, policy: ScoringPolicy, clocks: tuple[str, ...], half_lives: dict[str, float | None] | None = None) -> DataFrame:
+def derive_at(claims_df: DataFrame, evidence_df: DataFrame, policy: ScoringPolicy, clocks: tuple[str, ...], half_lives: dict[str, float | None] | None = None, groups: dict[str, int | None] | None = None) -> DataFrame:
     """claims_df (claim_id, human_verified, open_conflict) with verification, basis, scores (one per clock), visibility,
     lifecycle and its reason. A claim without active evidence stays, and is retracted if it was active and no human
-    verified it. half_lives gives categories their own half-life; others have the policy's."""
+    verified it. half_lives and groups give categories their own half-life and number of groups that corroborate (None: none ever do);
+    others have the policy's."""
     half_lives = half_lives or {}
     kinds = sorted({policy.half_life_days, *half_lives.values()}, key=lambda x: (x is None, x or 0))
     per = _supported(evidence_df, policy, clocks, kinds)
@@ -115,9 +116,12 @@ def derive_at(claims_df: DataFrame, evidence_df: DataFrame, policy: ScoringPolic
     official = F.col("official_sup").isNotNull() & (F.col("official_con").isNull() | (F.col("official_sup") > F.col("official_con")))
     endorsed = F.coalesce(F.col("endorser") >= 3, F.lit(False)) & F.lit(policy.endorsement_verifies)
     trusted = F.lit(policy.corroboration_verifies) & (F.col("groups_3") >= policy.trusted_groups) & (F.col("n_con") == 0)
+    needed = F.lit(policy.corroborated_groups)
+    for category, n in (groups or {}).items():
+        needed = F.when(F.col("category") == category, F.lit(n).cast("int")).otherwise(needed)
     verification = (
         F.when(F.col("human_verified"), "verified").when(F.col("open_conflict"), "disputed").when(endorsed, "verified").when(official, "verified").when(trusted, "verified")
-        .when(F.col("groups_2") >= policy.corroborated_groups, "corroborated").otherwise("unverified")
+        .when(F.col("groups_2") >= needed, "corroborated").otherwise("unverified")
     )
     basis = (
         F.when(F.col("human_verified"), "human").when(F.col("open_conflict"), F.lit(None)).when(endorsed, "human").when(official, "official_source").when(trusted, "corroboration")
@@ -140,9 +144,9 @@ def derive_at(claims_df: DataFrame, evidence_df: DataFrame, policy: ScoringPolic
     )
 
 
-def derive(claims_df: DataFrame, evidence_df: DataFrame, policy: ScoringPolicy, now: str, half_lives: dict[str, float | None] | None = None) -> DataFrame:
+def derive(claims_df: DataFrame, evidence_df: DataFrame, policy: ScoringPolicy, now: str, half_lives: dict[str, float | None] | None = None, groups: dict[str, int | None] | None = None) -> DataFrame:
     """derive_at one clock, with support_score."""
-    return derive_at(claims_df, evidence_df, policy, (now,), half_lives).withColumn("support_score", F.get("scores", F.lit(0))).drop("scores")
+    return derive_at(claims_df, evidence_df, policy, (now,), half_lives, groups).withColumn("support_score", F.get("scores", F.lit(0))).drop("scores")
 
 
 POLICY = ScoringPolicy()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as X
 from ..plans.tables import read
 from ..session import scratch_path, ship_package
+from .postings import written
 from .texts import question_sql, tokens_sql
 
 #: Fixed values of the prefilter.
@@ -267,7 +268,9 @@ def gate_decisions(spark, d, fit_rows: int = GATE_ROWS):
     """A gate learned from the newest fit_rows labels (a larger id is newer), then auto-keep, auto-reject or ask, natively."""
     f = gate_features(spark, d)
     names = ["x_len", "x_upper", "x_symbol", "x_lines"]
-    rows = f.orderBy(F.desc("doc_id")).limit(fit_rows).collect()[::-1]
+    # written, so that each task's newest rows meet on an executor and only fit_rows of them reach the driver
+    newest = written(f.orderBy(F.desc("doc_id")).limit(fit_rows), "newest-labels")
+    rows = sorted(newest.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"]))
     model = gate_model(np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(-1, 4), np.array([r["quality"] for r in rows], dtype=float))
     return gate_decide(f, model, names).select("doc_id", "probability", "decision")
 
