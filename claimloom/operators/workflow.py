@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 
+import hashlib
 import json
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..plans.tables import EVENTS_NOW, read
-from ..session import ship_package
-from .ranges import rate_limit_sliding_greedy  # noqa: F401
+from .ranges import Rule, fold, rate_limit_sliding_greedy  # noqa: F401
 
 #: Fixed values of the latency histogram and of the queue's backoff.
 BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 40.0)
@@ -183,26 +182,22 @@ def audit_digest(spark, d):
     return _audit(spark, d).select("event_id", F.sha2(F.concat("prev_hash", "body"), 256).alias("digest"))
 
 
-def audit_chain_build(spark, d):
-    """A true hash chain per user: each row's hash takes in the hash before it, so a chain is walked in order."""
-    import hashlib
+class Chain(Rule):
+    """The hash so far."""
 
-    ship_package(spark)
-    a = _audit(spark, d).select("user_id", "chain_seq", "body")
+    def __init__(self):
+        self.before = b""
+
+    def step(self, body: str) -> tuple[str]:
+        self.before = hashlib.sha256(self.before + body.encode()).digest()
+        return (self.before.hex(),)
 
-    def walk(batches):
-        chain, before = None, b""
-        for b in batches:
-            out = []
-            for user, body in zip(b.column("user_id").to_pylist(), b.column("body").to_pylist(), strict=True):
-                if user != chain:
-                    chain, before = user, b""
-                before = hashlib.sha256(before + body.encode()).digest()
-                out.append(before.hex())
-            yield pa.RecordBatch.from_arrays([b.column("user_id"), b.column("chain_seq"), pa.array(out, pa.string())], names=["user_id", "chain_seq", "row_hash"])
 
-    # chains stream past in order; the last hash is all that a task holds
-    return a.repartition("user_id").sortWithinPartitions("user_id", "chain_seq").mapInArrow(walk, "user_id long, chain_seq int, row_hash string")
+def audit_chain_build(spark, d):
+    """A true hash chain per user: each row's hash takes in the hash before it, so a chain is walked in order, range by
+    range with the last hash carried on."""
+    a = _audit(spark, d).select("user_id", "chain_seq", "body")
+    return fold(a, ["user_id"], ["chain_seq"], ["body"], Chain, "row_hash string").select("user_id", "chain_seq", "row_hash")
 
 
 def reconcile_actions(spark, d):
@@ -452,6 +447,10 @@ f AS (SELECT task_id, min({{'turn': turn, 'side': side}}) AS f FROM n WHERE n =
     "hash_sample": "SELECT event_id FROM events WHERE ('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 4))::INT::DOUBLE / 65535.0::DOUBLE <= 0.2::DOUBLE",
     "audit_verify": f"""SELECT user_id, min(CASE WHEN broken THEN chain_seq END) AS first_broken, count(*) AS n FROM (SELECT *, CASE WHEN event_id % 97 = 3 AND chain_seq > 1 THEN sha256('altered') ELSE prev_hash END <> coalesce(sha256(lag(body) OVER (PARTITION BY user_id ORDER BY chain_seq)), '') AS broken FROM {_AUDIT}) GROUP BY user_id""",
     "audit_digest": f"SELECT event_id, sha256(concat(prev_hash, body)) AS digest FROM {_AUDIT}",
+    "audit_chain_build": f"""WITH RECURSIVE a AS MATERIALIZED (SELECT user_id, chain_seq, body FROM {_AUDIT}),
+c AS (SELECT user_id, chain_seq, sha256(encode(body)) AS row_hash FROM a WHERE chain_seq = 1
+UNION ALL SELECT a.user_id, a.chain_seq, sha256(unhex(row_hash) || encode(body)) FROM c JOIN a ON a.user_id = c.user_id AND a.chain_seq = c.chain_seq + 1)
+SELECT user_id, CAST(chain_seq AS INT) AS chain_seq, row_hash FROM c""",
     "reconcile_actions": f"""WITH j AS ({JOBS_SQL}), w AS (SELECT id, status AS want FROM j WHERE id % 3 <> 0), h AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'old' ELSE status END AS have FROM j WHERE id % 4 <> 0)
 SELECT id, CASE WHEN have IS NULL THEN 'create' WHEN want IS NULL THEN 'delete' WHEN want = have THEN 'noop' WHEN want = 'done' THEN 'lock' ELSE 'edit' END AS action FROM w FULL JOIN h USING (id)""",
     "source_liveness": """WITH e AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events), r AS (SELECT user_id, run, count(*) FILTER (event_type = 'error') AS n FROM e GROUP BY ALL)
