@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.evidence", "operators.workflow", "operators.ranges", "operators.texts", "operators.retrieval", "operators.extents", "operators.aliases", "operators.ingest", "operators.web", "operators.access", "operators.lifecycle", "operators.delta", "operators.policies", "streaming.flows", "sources.readers")
+MODULES = ("operators.evidence", "operators.workflow", "operators.ranges", "operators.texts", "operators.retrieval", "operators.extents", "operators.aliases", "operators.ingest", "operators.web", "operators.access", "operators.lifecycle", "operators.delta", "operators.policies", "operators.gate", "streaming.flows", "sources.readers")
 
 
 def _collect(kind: str) -> dict:
