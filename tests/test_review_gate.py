@@ -51,7 +51,7 @@ def test_decision_is_that_of_the_model(spark):
 def test_claims_are_kept_rejected_or_asked_about(spark, tmp_path):
     d, at = str(tmp_path), datetime.datetime(2001, 1, 1)
     good, bad = "copper turbines hum in the quiet harbour", "%%% buy velvet now %%%"
-    texts = [(i, good if i % 2 else bad) for i in range(700)]
+    texts = [(i, (good if i % 2 else bad) + f" w{i % 13}" * (i % 7)) for i in range(700)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(500)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(i, 1, "O", at, "3-MEDIUM") for i in range(700)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{d}/orders.parquet")
@@ -59,7 +59,8 @@ def test_claims_are_kept_rejected_or_asked_about(spark, tmp_path):
     spark.createDataFrame([], lines).write.parquet(f"{d}/lineitem.parquet")
     got = {r["doc_id"]: r["outcome"] for r in gate.review_gate(spark, d).collect()}
     assert all(got[i] == "judged" for i in range(500))
-    assert all(got[i] == ("keep" if i % 2 else "reject") for i in range(500, 700))
+    wrong = [got[i] for i in range(500, 700) if got[i] != ("keep" if i % 2 else "reject")]
+    assert len(wrong) < 60 and not {"keep", "reject"} & set(wrong)  # what it is not sure of it leaves to people
     # too few labels: people are asked, but not twice about claims in a conflict (multiples of 23)
     asked = {r["doc_id"]: r["outcome"] for r in gate.review_gate(spark, d, fit_rows=100).collect()}
     assert all(asked[i] == ("already_open" if i % 23 == 0 else "task") for i in range(500, 700))
