@@ -7,6 +7,7 @@ the number of blocks on either side may grow with the data."""
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ ROWS, BYTES = 256, 1 << 20
 BATCH_BYTES, SCAN_ROWS = 8 << 20, 512
 #: Candidates that a task holds before it drops all but the best.
 HELD = 200_000
+#: Prepared blocks of the rows and of the questions that a task keeps.
+KEPT = {"l": 1, "r": 8}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -88,20 +91,23 @@ def best_of(table: dict[str, np.ndarray], group: str, order: list[str], k: int,
 def meet(rows: DataFrame, asked: DataFrame, left: Callable[[pa.Table], object], right: Callable[[pa.Table], object], pair: Callable[[object, object], dict[str, np.ndarray]], schema: str, group: str, order: list[str], k: int, ties: str | None = None) -> DataFrame:
     """The best rows of pair(left(block of rows), right(block of asked)) over all pairs of blocks, k of each group a task.
 
-    left and right prepare a block once while it is the latest of a task; pair gives columns of the schema. order names
+    left and right prepare a block, and a task keeps the latest few; pair gives columns of the schema. order names
     the columns that rank a group's rows (a minus: descending)."""
     names = T.StructType.fromDDL(schema).names
     both = rows.select(F.col("block").alias("l"), F.col("data").alias("ldata")).crossJoin(asked.select(F.col("block").alias("r"), F.col("data").alias("rdata")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[str, tuple[int, object]] = {}
+        ready: dict[str, OrderedDict[int, object]] = {"l": OrderedDict(), "r": OrderedDict()}
         held: list[dict[str, np.ndarray]] = []
         n = least = 0
 
         def prepared(side: str, number: int, data: pa.Scalar, make: Callable) -> object:
-            if ready.get(side, (None,))[0] != number:
-                ready[side] = number, make(pa.ipc.open_stream(data.as_buffer()).read_all())
-            return ready[side][1]
+            some = ready[side]
+            if number not in some:
+                some[number] = make(pa.ipc.open_stream(data.as_buffer()).read_all())
+                if len(some) > KEPT[side]:
+                    some.popitem(last=False)
+            return some[number]
 
         def pruned() -> dict[str, np.ndarray]:
             return best_of({c: np.concatenate([h[c] for h in held]) for c in names}, group, order, k, ties)
