@@ -16,7 +16,7 @@ Cases: vectors that are null or hold null or non-finite components are dropped.
 zeros to the longest kept one, and all are filled up to a multiple of PARTS. Codebooks start with the smallest distinct
 ids, null as the largest, and of rows that repeat an id with the least vector; with fewer ids than entries there are fewer
 entries. Rows that repeat an id are coded each. Integers beyond the bound up to which the error of a vector fits 64 bits
-(over 10,000 in a component, for 64 components) count as the bound; a label's error is at most the largest long. No kept
+(16,384 in a component, for 64 components) count as the bound; a label's error is at most the largest long. No kept
 rows give no rows. Other columns are ignored."""
 
 from __future__ import annotations
