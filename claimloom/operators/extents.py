@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
 from ..plans.tables import read
-from ..session import ship_package
+from .blocks import small_batches
 from .postings import STRIDE, asked, written
 
 #: Least similarity, claims a question, and rare trigrams that a claim must share.
@@ -97,7 +97,7 @@ def word_similarity(questions: DataFrame, texts: DataFrame, k: int = BEST, least
     rare = rare_prefixes(questions, postings, least, hits)
     near = rare.join(postings, "g").groupBy("question_id", "claim_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
     pairs = near.select("question_id", "claim_id").join(questions, "question_id").join(claims, "claim_id").select("question_id", "claim_id", "gs", "held")
-    ship_package(texts.sparkSession)
+    small_batches(texts.sparkSession)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..plans.tables import read
-from ..session import scratch_path, ship_package
+from ..session import scratch_path
+from .blocks import small_batches
 from .texts import content_sql, is_content_sql, tokens_sql
 
 #: What an interval without other words between its matches adds to a claim's density.
@@ -90,7 +91,7 @@ def cover_density(words: DataFrame, near: DataFrame, claims: DataFrame) -> DataF
     needed = near.join(words, "question_id").select("q", "claim_id").distinct()
     postings = placed.join(pairs, "token").join(needed, ["q", "claim_id"], "left_semi").groupBy("q", "claim_id").agg(F.sort_array(F.collect_set("at")).alias("places"))
     held = near.join(words, "question_id").join(postings, ["q", "claim_id"]).groupBy("question_id", "claim_id").agg(F.first("matched").alias("matched"), F.collect_list("places").alias("places"))
-    ship_package(claims.sparkSession)
+    small_batches(claims.sparkSession)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.tables import read
-from ..session import ship_package
+from .blocks import small_batches
 from .postings import written
 
 
@@ -58,7 +58,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], m
 
     keys and order together should tell rows apart; equal ones may come in any order. Nulls come first and are one key."""
     spark = df.sparkSession
-    ship_package(spark)
+    small_batches(spark)
     by = [*keys, *order]
     dealt = df.repartitionByRange(*([ranges] if ranges else []), *by).withColumn("pid", F.spark_partition_id())
     dealt = written(dealt, "ranges")
