@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..plans.tables import read
-from ..session import scratch_path, ship_package
+from ..session import discard, ship_package
 from .postings import written
 from .texts import question_sql, tokens_sql
 
@@ -165,22 +165,18 @@ def spread_labels(members: DataFrame) -> DataFrame:
 
     Least labels go from claims to their conflicts and back, and each then takes its label's label, until none changes.
     Nothing is paired, a conflict's rows combine before they shuffle, and the driver learns only whether anything changed."""
-    spark = members.sparkSession
-
-    def written(df: DataFrame) -> DataFrame:
-        path = scratch_path(spark, "labels")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    members = written(members.select("claim_id", "conflict_id").distinct())
-    labels = members.select("claim_id", F.col("claim_id").alias("label")).distinct()
+    members = written(members.select("claim_id", "conflict_id").distinct(), "members")
+    labels, old = members.select("claim_id", F.col("claim_id").alias("label")).distinct(), None
     while True:
         least = members.join(labels, "claim_id").groupBy("conflict_id").agg(F.min("label").alias("label"))
         near = members.join(least, "conflict_id").groupBy("claim_id").agg(F.min("label").alias("low"))
         of = labels.select(F.col("claim_id").alias("low"), F.col("label").alias("next"))
-        new = written(near.join(of, "low").join(labels, "claim_id").select("claim_id", F.least("low", "next").alias("label"), F.col("label").alias("was")))
-        labels = new.select("claim_id", "label")
+        new = written(near.join(of, "low").join(labels, "claim_id").select("claim_id", F.least("low", "next").alias("label"), F.col("label").alias("was")), "labels")
+        if old is not None:
+            discard(old)
+        labels, old = new.select("claim_id", "label"), new
         if new.where("label <> was").limit(1).count() == 0:
+            discard(members)
             return labels
 
 

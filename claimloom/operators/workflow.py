@@ -388,7 +388,7 @@ def context_budget(spark, d, budget: int = 600):
 
 
 def answer_cache(spark, d):
-    """Cached answers that still hold: same profile, same epoch, younger than a day, not degraded."""
+    """Cached answers that still hold: same profile, same epoch, younger than ten days. cached_answers has the whole rule."""
     e = _events(spark, d)
     epoch = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.count(F.lit(1)).alias("epoch"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -69,3 +69,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop_path)
     return path
+
+
+def discard(df) -> None:
+    """Deletes a scratch table when nothing reads it any more. Tables of other places stay as they are."""
+    for file in df.inputFiles()[:1]:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getParent().getName() == "claimloom":
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -15,7 +15,7 @@ STAGES = [
     ("best_fit_packing", stages.packing_stage),
 ]
 
-#: SQL cannot express the learned stages; tests hold the pipeline against a brute-force version.
+#: SQL cannot express the learned stages; tests hold each stage against a plain version of its decision, and its rows.
 ORACLE_SQL = None
 
 
