@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path, ship_package
+from ..session import discard, scratch_path, ship_package  # noqa: F401
 
 #: Rows and bytes that one Arrow batch carries to a Python worker, and rows that a Parquet scan holds; texts may be long.
 BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 1000, 16 << 20, 512
@@ -28,13 +28,6 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what materialize() wrote, when nothing reads it any more."""
-    for file in df.inputFiles()[:1]:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def unused(columns: list[str], *names: str) -> list[str]:
     """A name for each of names that none of the columns has, in any case."""
     taken, out = {c.lower() for c in columns}, []
