@@ -127,3 +127,19 @@ def test_numbers_of_a_tree(spark):
     got = {r["id"]: (r["pre"], r["last"]) for r in routing.numbered_tree(spark.createDataFrame(nodes, "id string, parent string")).collect()}
     below = {x: {y for y in got if got[x][0] <= got[y][0] <= got[x][1]} for x in got}
     assert below == {"a": {"a", "b", "c", "b1", "b2"}, "b": {"b", "b1", "b2"}, "c": {"c"}, "b1": {"b1"}, "b2": {"b2"}, "ab": {"ab"}}
+
+
+def test_coverage_by_sets_is_that_of_the_expression(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from claimloom.functions import text as X
+    from claimloom.operators.retrieval import share_covered
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 8)))
+    rows = [(i, [word() for _ in range(rng.randrange(5))], [word() for _ in range(rng.randrange(6))], [word() for _ in range(rng.randrange(3))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, q array<string>, d array<string>, s array<string>")
+    got = {r["i"]: (r["a"], r["b"]) for r in df.select("i", X.coverage(F.col("q"), F.col("d")).alias("a"), X.coverage(F.col("q"), F.col("d"), F.col("s")).alias("b")).collect()}
+    assert all(got[i] == pytest.approx((share_covered(q, d), share_covered(q, d, s))) for i, q, d, s in rows)
