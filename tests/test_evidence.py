@@ -94,3 +94,19 @@ def test_asof_join(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9)], "k string, t int")
     right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("a", 7, 70)], "k string, t int, v int")
     assert sorted((r["k"], r["t"], r["v"]) for r in asof_join(left, right, "k", "t", "t", "v").collect()) == [("a", 1, None), ("a", 5, 50), ("b", 9, None)]
+
+
+def test_sources_that_tie_in_tier_date_and_line_come_in_their_own_order(spark, tmp_path):
+    from claimloom import catalog
+    from claimloom.operators import routing
+
+    at = dt.datetime(2001, 1, 1)
+    for turn in (1, -1):  # whichever row is read first
+        d = f"{tmp_path}/{turn}"
+        lines = [(7, 1, 1, supplier, "N", 0.04, "O", 0.01, at, 100.0, 30.0) for supplier in range(9)][::turn]
+        spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_tax double, l_linestatus string, l_discount double, l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+        spark.createDataFrame([(n, f"S{n}") for n in range(9)], "s_suppkey long, s_name string").write.parquet(f"{d}/supplier.parquet")
+        got = catalog.queries()["top_sources_per_claim"](spark, d).orderBy("rn").collect()
+        assert [r["source"] for r in got] == ["S0", "S1", "S2"]
+        keys = spark.createDataFrame([(7,)], "key long")
+        assert [r["sources"] for r in routing.sources_of(spark, d, keys).collect()] == ["S0,S1,S2"]
