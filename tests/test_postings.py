@@ -108,3 +108,41 @@ def test_pruning_in_a_task_loses_nothing(spark, monkeypatch, tables):
     d = tables(["copper turbine lantern"], [f"copper {'turbine' if n % 3 else ''} {'lantern' if n % 5 else ''}" for n in range(60)])
     want = [tuple(r) for r in catalog.queries()["fts_topk"](spark, d).orderBy("rank").collect()]
     assert [r[3] for r in want] == [n for n in range(60) if n % 3 and n % 5][:20]
+
+
+@given(st.lists(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=6), min_size=1, max_size=4), max_size=6), st.sampled_from([3, 1 << 20]))
+@settings(max_examples=200, deadline=None)
+def test_densities_of_many_pairs_are_those_of_each(pairs, places):
+    lists = [sorted(own) for p in pairs for own in p]
+    size = np.array([len(own) for own in lists], dtype=np.int64)
+    pair = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+    at = np.array([x for own in lists for x in own], dtype=np.int64)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(postings, "PLACES", places)
+        got = postings.densities(len(pairs), pair, np.cumsum(size) - size, size, at)
+    assert got.tolist() == pytest.approx([postings.density([np.array(sorted(own)) for own in p]) for p in pairs], abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["fts_topk", "fts_cover_density", "trigram_topk"])
+def test_floors_of_the_longest_claims_lose_nothing(spark, tables, monkeypatch, name):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abc"), size=n)) for n in rng.integers(2, 6, size=60)]
+    some = lambda n: " ".join(rng.choice(words, size=n))
+    d = tables([some(n) for n in (1, 2, 5, 9, 20)], [some(int(n)) for n in rng.integers(1, 60, size=160)])
+    rows = lambda: sorted(tuple(r) for r in catalog.queries()[name](spark, d).collect())
+    want = rows()
+    monkeypatch.setattr(search, "LONGEST", 8)
+    assert len(want) and rows() == want
+
+
+def test_beginnings_of_tokens_by_their_chains():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("ab"), size=rng.integers(2, 7)))
+    table = lambda lists: pa.table({"id": pa.array(range(len(lists))), "t": pa.array(lists, pa.list_(pa.string()))})
+    claims, asked = search.Words(table([[word() for _ in range(9)] for _ in range(20)])), search.AskedWords(table([[word() for _ in range(3)] for _ in range(9)]))
+    codes, columns = asked.pairs(claims)
+    token = {c: t for t, c in asked.place.items()}
+    got = sorted((claims.vocabulary[c], token[n]) for c, n in zip(codes.tolist(), columns.tolist(), strict=True))
+    assert got == sorted((t, q) for t in claims.vocabulary for q in asked.place if t.startswith(q) and claims.content[claims.vocabulary.index(t)])
