@@ -187,7 +187,8 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
                 n = len(row["doc_ids"])
                 lengths = np.array(row["lengths"], dtype=np.int64)
                 places = np.concatenate([[0], lengths.cumsum()])
-                crc = [zlib.crc32(codes.slice(int(a), int(b)).tobytes()) for a, b in zip(places[:-1], places[1:], strict=True)]
+                every = codes.slice(0, len(codes))
+                crc = [zlib.crc32(every[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
                 at = starts[row["shard"]] + row["shard_start"] + places[:-1]
                 columns = [row["doc_ids"], at, lengths, crc, [row["shard"]] * n, [row["segment"]] * n]
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)

@@ -114,3 +114,21 @@ def test_plan_packs_everything(counts):
 def test_two_smaller_pieces_replace_the_smallest():
     # greedy takes 6 and 3; 2 + 2 fit the gap of 4 more tightly than 3
     assert packing.plan_bins({6: 1, 3: 1, 2: 2}, 10)[0] == ({6: 1, 2: 2}, 1)
+
+
+def test_a_segment_decoded_whole_gives_the_documents_of_its_slices(spark, tmp_path):
+    import zlib
+
+    import numpy as np
+
+    from claimloom.llm import token_codes, tokens
+
+    path = f"{tmp_path}/codes"
+    docs = spark.createDataFrame([(n, "word " * n) for n in range(40)], "doc_id long, text string").coalesce(1)
+    token_codes.write_codes(docs, path, tokens.tokenizer_path())
+    segment = spark.read.parquet(path).orderBy("shard", "segment").collect()
+    got = {r["doc_id"]: r["ids_crc32"] for r in token_codes.read_codes(spark, path).collect()}
+    for row in segment:
+        at = np.concatenate([[0], np.cumsum(row["lengths"])])
+        codes = token_codes.Codes(row["codes"])
+        assert [got[i] for i in row["doc_ids"]] == [zlib.crc32(codes.slice(int(a), int(b)).tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]

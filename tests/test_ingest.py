@@ -16,3 +16,19 @@ def test_short_and_partial_quotes(spark, tmp_path):
     found = catalog.queries()["quote_found"](spark, d)
     assert sorted(map(tuple, found.collect())) == sorted((n, m) for n, t in enumerate(docs) for m, q in enumerate(quotes) if len(q) >= 6 and q in t)
     assert difference(found, duck(d), catalog.oracle_sql()["quote_found"]) == ""
+
+
+def test_quotes_are_found_with_and_without_first_words(spark, tmp_path, monkeypatch):
+    from claimloom import catalog
+    from claimloom.operators import ingest
+
+    d = str(tmp_path)
+    quotes = [(0, "amber lanterns glow over quiet harbours"), (1, "velvet curtain falls"), (2, "copper turbine"), (3, "no such words stand here")]
+    spark.createDataFrame(quotes, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = [(0, "All amber lanterns glow over quiet harbours now. Velvet curtain falls."), (1, "a copper turbine, velvet curtain"), (2, None), (3, "curtain")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    found = lambda: {tuple(r) for r in catalog.queries()["quote_found"](spark, d).collect()}
+    want = {(0, 0), (0, 1), (1, 2)}
+    assert found() == want
+    monkeypatch.setattr(ingest, "FIRST_WORDS", 0)
+    assert found() == want
