@@ -24,6 +24,8 @@ SPACE = b" \t\n\r\x0b\x0c"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Rows of the bounded sample, trees, rows a tree, and the least share of good labelled rows that stays.
 FIT_ROWS, TREES, TREE_ROWS, MIN_KEPT, SEED = 6000, 128, 256, 0.995, 17
+#: Steps between the scores 0 and 1 that a threshold is chosen from.
+STEPS = 10_000
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: Further statistics, for the forest alone.
@@ -215,10 +217,27 @@ def _sampled(docs: DataFrame, labels: DataFrame | None, rows: int) -> tuple[np.n
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> RuleModel:
-    """The forest from at most rows documents, the threshold from at most rows labelled ones."""
+    """The forest from at most rows documents, as each of its trees takes TREE_ROWS of them; the threshold from all labelled
+    ones that pass the fixed rules, whose scores are counted in STEPS steps before they come to the driver."""
     features, *_ = _sampled(docs, None, rows)
-    labelled, quality, failed = _sampled(docs, labels, rows)
-    return RuleModel(features, labelled[(quality == 1) & ~failed], labelled[(quality == 0) & ~failed])
+    model = RuleModel(features, np.zeros((0, len(FEATURES))), np.zeros((0, len(FEATURES))))
+    quality = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    judged = with_rules(docs, model, ["doc_id"]).select("doc_id", "base_failed", F.ceil(F.col("anomaly") * STEPS).alias("step"))
+    counts = judged.where(~F.col("base_failed")).join(quality, "doc_id").groupBy("step").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
+    found = np.array(sorted((r["step"], r["good"], r["bad"]) for r in counts.collect()), dtype=np.int64).reshape(-1, 3)
+    model.threshold = best_threshold(found[:, 0] / STEPS, found[:, 1], found[:, 2])
+    return model
+
+
+def best_threshold(scores: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The score of best balanced accuracy among those that keep at least MIN_KEPT of the good rows, from the numbers of good
+    and bad rows up to each score (ascending); infinity without one or without rows of a kind."""
+    if not good.sum() or not bad.sum():
+        return float("inf")
+    kept, caught = np.cumsum(good) / good.sum(), 1 - np.cumsum(bad) / bad.sum()
+    worth = np.where(kept >= MIN_KEPT, kept + caught - 1, 0.0)
+    at = int(np.argmax(worth))
+    return float(scores[at]) if worth[at] > 0 else float("inf")
 
 
 def with_rules(docs: DataFrame, model: RuleModel, keep: list[str], prefix: str = "", text_col: str = "text") -> DataFrame:
