@@ -1,6 +1,6 @@
 """Keyed state over streams: message revisions with retractions, channels' context, sliding limits.
 
-Processors run under transformWithState on the RocksDB state store. A message's state is a map of its operations, so that
+Processors run under transformWithState on the RocksDB state store. A message's state holds its operations, so that
 those that come late or in another order lead to the same revisions; a timer in event time folds the operations that are
 older than KEEP into one row, which bounds the state and closes the message to operations older than that."""
 
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ranges import Sliding
@@ -57,6 +57,7 @@ def replay(ops: list[tuple[int, int, str, str | None]], start: Revision = Revisi
 
 
 CHANGE = "message_id string, v long, change string, seq long, rev long, status string, content string"
+_CHANGE_ROW = Row(*[c.split()[0] for c in CHANGE.split(", ")])
 
 
 def retractions(message: str, v: int, old: Revision, new: Revision) -> list[tuple]:
@@ -72,63 +73,66 @@ def retractions(message: str, v: int, old: Revision, new: Revision) -> list[tupl
     return out
 
 
+_REVISION = "struct<seq: long, rev: long, content: string, status: string>"
+
+
 class Message(StatefulProcessor):
-    """ops: the operations by number; now: the last state told and how often; base: what folded operations led to, and up
-    to which time."""
+    """One value a message, as a call of the state store costs far more than the few fields that it moves: how often a state
+    was told, when the timer is due, up to which time operations are folded (null: none are), the state told last, what the
+    folded operations led to, and the operations since."""
+
+    SCHEMA = f"v long, due long, until long, now {_REVISION}, base {_REVISION}, ops array<struct<at: long, seq: long, op: string, content: string>>"
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ops = handle.getMapState("ops", "seq long", "at long, op string, content string")
-        revision = "seq long, rev long, content string, status string"
-        self.now = handle.getValueState("now", f"v long, {revision}")
-        self.base = handle.getValueState("base", f"until long, {revision}")
+        self.state = handle.getValueState("message", self.SCHEMA)
 
-    def _stored(self, state) -> tuple[int, Revision]:
-        if not state.exists():
-            return 0, Revision()
-        first, seq, rev, content, status = state.get()
-        return int(first), Revision(None if seq is None or pd.isna(seq) else int(seq), int(rev), content, status)
+    def _stored(self) -> tuple:
+        found = self.state.get()
+        if found is None:
+            return 0, None, None, Revision(), Revision(), {}
+        told, due, until, now, base, ops = found
+        return told, due, until, Revision(*now), Revision(*base), {o[1]: tuple(o) for o in ops}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        until, base = self._stored(self.base)
-        told, old = self._stored(self.now)
+    def _store(self, told: int, due: int | None, until: int | None, now: Revision, base: Revision, ops: dict) -> None:
+        self.state.update((told, due, until, tuple(now), tuple(base), list(ops.values())))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        told, due, until, old, base, ops = self._stored()
         out, latest = [], None
-        for frame in rows:
-            for at, seq, op, content in zip(frame["at_us"].tolist(), frame["seq"].tolist(), frame["op"].tolist(), frame["content"].tolist(), strict=True):
-                if self.base.exists() and at <= until:
-                    out.append((key[0], told, "too_late", seq, None, old.status, None))
-                    continue
-                self.ops.updateValue((seq,), (at, op, content))
-                latest = at if latest is None else max(latest, at)
+        for row in rows:
+            at, seq = row["at_us"], row["seq"]
+            if until is not None and at <= until:
+                out.append((key[0], told, "too_late", seq, None, old.status, None))
+                continue
+            ops[seq] = (at, seq, row["op"], row["content"])
+            latest = at if latest is None else max(latest, at)
         if latest is not None:
-            new = replay([(at, seq[0], op, content) for seq, (at, op, content) in self.ops.iterator()], base)
+            new = replay(list(ops.values()), base)
             made = retractions(key[0], told + 1, old, new)
             if made:
                 out += made
-                self.now.update((told + 1, *new))
-            due = latest // 1000 + self.keep_ms
-            timers = list(self.handle.listTimers())
-            if all(t < due for t in timers):
-                for t in timers:
-                    self.handle.deleteTimer(t)
-                self.handle.registerTimer(due)
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+                told, old = told + 1, new
+            at_ms = latest // 1000 + self.keep_ms
+            if due is None or due < at_ms:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(at_ms)
+                due = at_ms
+            self._store(told, due, until, old, base, ops)
+        return (_CHANGE_ROW(*o) for o in out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Folds the operations; of a deleted message the content goes now."""
-        until, base = self._stored(self.base)
-        told, old = self._stored(self.now)
-        ops = [(at, seq[0], op, content) for seq, (at, op, content) in self.ops.iterator()]
-        new = replay(ops, base)
+        told, _, until, old, base, ops = self._stored()
+        new = replay(list(ops.values()), base)
         if new.status in ("deleted", "purged"):
             new = new._replace(content=None)
-        self.base.update((max([until, *(o[0] for o in ops)]), *new))
-        self.ops.clear()
-        self.now.update((told, *new))
+        ends = [o[0] for o in ops.values()] + ([] if until is None else [until])
+        self._store(told, None, max(ends), new, new, {})
         return iter(())
 
     def close(self) -> None:
@@ -145,7 +149,7 @@ def changes(ops: DataFrame, late: str = LATE, keep: str = KEEP) -> DataFrame:
     Operations that come more than late after others of the stream are dropped once their message is folded."""
     ready(ops.sparkSession)
     o = ops.withWatermark("at", late).withColumn("at_us", F.unix_micros("at"))
-    return o.groupBy("message_id").transformWithStateInPandas(Message(_ms(keep)), CHANGE, "Append", "EventTime")
+    return o.groupBy("message_id").transformWithState(Message(_ms(keep)), CHANGE, "Append", "EventTime")
 
 
 def messages_now(told: DataFrame) -> DataFrame:

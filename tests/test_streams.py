@@ -163,3 +163,45 @@ def test_context_spans_batches(spark, tmp_path):
         found = reply in [x for x, _ in held[channel][-50:]]
         assert got[m] == (([reply] if found and reply not in recent else []) + recent, found)
         held[channel].append((m, t))
+
+
+class OneValue:
+    """A handle that counts the calls of the state store."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, [], set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+
+def test_a_message_costs_few_calls_of_the_state_store_however_many_its_operations():
+    handle, message = OneValue(), stateful.Message(1000)
+    message.init(handle)
+    ops = [(n * 1_000_000, n, "create" if n == 0 else "edit", str(n)) for n in range(50)]
+    rows = [dict(zip(("at_us", "seq", "op", "content"), o, strict=True)) for o in ops]
+    told = list(message.handleInputRows(("m",), iter(rows[:30]), None))
+    assert handle.calls == ["get", "register", "update"] and told[-1]["seq"] == 29
+    handle.calls.clear()
+    told = list(message.handleInputRows(("m",), iter(rows[30:] + rows[:5]), None))
+    assert handle.calls == ["get", "delete", "register", "update"] and handle.timers == {49 * 1000 + 1000}
+    assert [(r["change"], r["seq"], r["rev"]) for r in told] == [("source_edited", 29, 30), ("activate", 49, 50)]
+    list(message.handleExpiredTimer(("m",), None, None))
+    told = list(message.handleInputRows(("m",), iter([{"at_us": 5, "seq": 90, "op": "edit", "content": "late"}, {"at_us": 60_000_000, "seq": 91, "op": "edit", "content": "z"}]), None))
+    assert [(r["change"], r["seq"]) for r in told] == [("too_late", 90), ("source_edited", 49), ("activate", 91)]
