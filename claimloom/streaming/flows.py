@@ -14,7 +14,7 @@ from ..operators import ranges
 from ..operators.ranges import messages_of
 from ..session import scratch_path
 from .outbox import committed, run_outbox
-from .stateful import OPS, PURGE_FROM, changes, contexts, limited, messages_now, operations
+from .stateful import OPS, PURGE_FROM, changes, context_batches, limited, messages_now, operations
 
 LATE = "2 days"
 
@@ -109,7 +109,7 @@ def stream_changes(spark, d):
 
 def stream_context(spark, d):
     """Each message's prior context from its channel's ring buffer."""
-    found = run(contexts(messages_of(event_stream(spark, d))), "contexts")
+    found = context_batches(messages_of(event_stream(spark, d)), scratch_path(spark, "contexts"), scratch_path(spark, "contexts-progress"))
     return found.select("message_id", F.array_join(F.transform("context", lambda m: m.cast("string")), ",").alias("context"), "reply_found")
 
 

@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ranges import Sliding
+from ..operators.ranges import Ring, Sliding, fold
 from ..session import ship_package
+from .outbox import committed, last_commit, run_outbox
 
 LATE, KEEP = "2 days", "60 days"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -162,30 +165,49 @@ def messages_now(told: DataFrame) -> DataFrame:
 
 
 class Channel(StatefulProcessor):
-    """held: the last messages in order; at: the time of each held one by its id, where replies find theirs."""
+    """held: the last messages in order. A batch's messages are held as four numbers each and walked BLOCK at a time."""
+
+    BLOCK = 1 << 14
 
     def __init__(self, size: int, n: int, within: int):
         self.size, self.n, self.within = size, n, within
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getListState("held", "message_id long, t long")
-        self.at = handle.getMapState("at", "message_id long", "t long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["t", "message_id"])
-        held = [(int(m), int(t)) for m, t in self.held.get()] if self.held.exists() else []
-        context, found = [], []
-        for t, message, reply in zip(frame["t"].tolist(), frame["message_id"].tolist(), frame["reply"].tolist(), strict=True):
-            reply = None if pd.isna(reply) else int(reply)
-            recent = [m for m, at in held[-self.n :] if t - at <= self.within]
-            found.append(reply is not None and self.at.containsKey((reply,)))
-            context.append(([reply] if found[-1] and reply not in recent else []) + recent)
-            held.append((int(message), int(t)))
-            self.at.updateValue((int(message),), (int(t),))
-            if len(held) > self.size:
-                self.at.removeKey((held.pop(0)[0],))
-        self.held.put(held)
-        yield pd.DataFrame({"message_id": frame["message_id"], "context": context, "reply_found": found})
+        columns = ("message_id", "t", "reply", "replies")
+        messages = np.concatenate([np.stack([f[c].to_numpy(np.int64) for c in columns], axis=1) for f in rows])
+        order = np.lexsort((messages[:, 0], messages[:, 1]))
+        kept = [(int(m), int(t)) for m, t in self.held.get()] if self.held.exists() else []
+        held = np.array(kept, dtype=np.int64).reshape(-1, 2)
+        for at in range(0, len(order), self.BLOCK):
+            block = messages[order[at : at + self.BLOCK]]
+            every = np.concatenate([held, block[:, :2]])
+            context, found = self._contexts(every, len(held), block[:, 2], block[:, 3] == 1)
+            held = every[-self.size :]
+            yield pd.DataFrame({"message_id": block[:, 0], "context": context, "reply_found": found})
+        self.held.put([(int(m), int(t)) for m, t in held])
+
+    def _contexts(self, every: np.ndarray, first: int, reply: np.ndarray, replies: np.ndarray) -> tuple[list, np.ndarray]:
+        """The contexts of the messages from the first on, those before being held, and whether their replies are found."""
+        place, t = np.arange(first, len(every)), every[first:, 1]
+
+        def before(lag: int) -> tuple[np.ndarray, np.ndarray]:
+            return every[np.maximum(place - lag, 0)], place >= lag
+
+        found = np.zeros(len(place), dtype=bool)
+        for lag in range(1, self.size + 1):
+            earlier, there = before(lag)
+            found |= there & replies & (earlier[:, 0] == reply)
+        ids, takes = [reply], [found]
+        for lag in range(min(self.n, self.size), 0, -1):
+            earlier, there = before(lag)
+            ids.append(earlier[:, 0])
+            takes.append(there & (t - earlier[:, 1] <= self.within))
+        takes[0] = found & ~np.any([take & (i == reply) for i, take in zip(ids[1:], takes[1:], strict=True)], axis=0)
+        ids, takes = np.stack(ids, axis=1), np.stack(takes, axis=1)
+        return np.split(ids[takes], takes.sum(axis=1).cumsum()[:-1]), found
 
     def close(self) -> None:
         pass
@@ -193,9 +215,31 @@ class Channel(StatefulProcessor):
 
 def contexts(messages: DataFrame, size: int = 50, n: int = 5, within: int = 1800) -> DataFrame:
     """A stream of messages (channel, t, message_id, reply) with their prior context; a channel's come in order of time,
-    batch by batch."""
+    batch by batch. One task walks a channel's messages of a batch; context_batches spreads them."""
     ready(messages.sparkSession)
-    return messages.groupBy("channel").transformWithStateInPandas(Channel(size, n, within), "message_id long, context array<long>, reply_found boolean", "Append", "None")
+    m = messages.select("channel", "t", "message_id", F.coalesce("reply", F.lit(0)).cast("long").alias("reply"), F.col("reply").isNotNull().cast("long").alias("replies"))
+    return m.groupBy("channel").transformWithStateInPandas(Channel(size, n, within), "message_id long, context array<long>, reply_found boolean", "Append", "None")
+
+
+def context_batches(messages: DataFrame, out: str, mark: str, size: int = 50, n: int = 5, within: int = 1800) -> DataFrame:
+    """What contexts() tells, of the batches that a stream of messages has, on from its checkpoint mark.
+
+    The state is a table: the last size messages of every channel, written beside a batch's contexts and committed with them
+    (see outbox.py). A batch is walked behind it in sorted ranges, so that a channel of any length is spread over tasks."""
+    held = T.StructType([messages.schema["channel"], *T.StructType.fromDDL("place int, t long, message_id long").fields])
+
+    def tables(b: DataFrame) -> dict[str, DataFrame]:
+        before = committed(b.sparkSession, out, "held", held).where(F.col("batch") == last_commit(b.sparkSession, out))
+        new = b.select("channel", F.lit(size).alias("place"), "t", "message_id", "reply")
+        every = before.select("channel", "place", "t", "message_id", F.lit(None).cast("long").alias("reply")).unionByName(new)
+        order = ["place", "t", "message_id"]
+        back = F.row_number().over(Window.partitionBy("channel").orderBy(*[F.desc(c) for c in order]))
+        last = every.withColumn("back", back).where(F.col("back") <= size).select("channel", (F.lit(size) - F.col("back")).cast("int").alias("place"), "t", "message_id")
+        walked = fold(every, ["channel"], order, ["t", "message_id", "reply"], lambda: Ring(size, n, within), "context array<long>, reply_found boolean")
+        return {"contexts": walked.where(F.col("place") == size).select("message_id", "context", "reply_found"), "held": last}
+
+    run_outbox(messages, out, mark, tables)
+    return committed(messages.sparkSession, out, "contexts", T.StructType.fromDDL("message_id long, context array<long>, reply_found boolean")).drop("batch")
 
 
 class Limited(StatefulProcessor):

@@ -205,3 +205,85 @@ def test_a_message_costs_few_calls_of_the_state_store_however_many_its_operation
     list(message.handleExpiredTimer(("m",), None, None))
     told = list(message.handleInputRows(("m",), iter([{"at_us": 5, "seq": 90, "op": "edit", "content": "late"}, {"at_us": 60_000_000, "seq": 91, "op": "edit", "content": "z"}]), None))
     assert [(r["change"], r["seq"]) for r in told] == [("too_late", 90), ("source_edited", 49), ("activate", 91)]
+
+
+def contexts_of(rows: list[tuple]) -> list[tuple]:
+    """message, context, whether its reply is held, of (channel, t, message, reply) in their order."""
+    held, out = {}, []
+    for channel, t, m, reply in rows:
+        last = held.setdefault(channel, [])
+        recent, found = [x for x, at in last[-5:] if t - at <= 1800], reply in [x for x, _ in last[-50:]]
+        out.append((m, ([reply] if found and reply not in recent else []) + recent, found))
+        last.append((m, t))
+    return out
+
+
+def test_context_of_batches_spans_batches_and_a_restart(spark, tmp_path):
+    rng = random.Random(5)
+    big = 1 << 60  # a reply's id must not pass through a float
+    rows = [(rng.choice("aaaab") if i < 195 else "a", i * 100, big + i, big + i - 1 - rng.randrange(80) if rng.random() < 0.8 else None) for i in range(260)]
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out, mark = f"file://{tmp_path}/out", f"file://{tmp_path}/mark"
+    for n in range(4):
+        put(spark, rows[n * 65 : n * 65 + 65], tmp_path, f"in/{n}", MESSAGES)
+        if n % 2:
+            got = sorted((r["message_id"], list(r["context"]), r["reply_found"]) for r in stateful.context_batches(source, out, mark).collect())
+            assert got == sorted(contexts_of(rows[: n * 65 + 65]))
+    last = outbox.committed(spark, out, "held", spark.createDataFrame([], "channel string, place int, t long, message_id long").schema)
+    # channel b, which the last batch did not name, is still held
+    assert {r["channel"]: r["count"] for r in last.where(f"batch = {outbox.last_commit(spark, out)}").groupBy("channel").count().collect()}.keys() == {"a", "b"}
+
+
+def test_a_hot_channel_is_spread_over_tasks(spark, tmp_path, monkeypatch):
+    """No task walks more than a range of it; before, one frame held a channel's whole batch."""
+    put(spark, [("a", i, i, i - 2) for i in range(2000)], tmp_path, "in/0", MESSAGES)
+    source = spark.readStream.schema(MESSAGES).parquet(f"{tmp_path}/in/0")
+
+    def marked(source, out, mark, batch):
+        outbox.run_outbox(source, out, mark, lambda b: {name: df.withColumn("part", F.spark_partition_id()) for name, df in batch(b).items()})
+
+    monkeypatch.setattr(stateful, "run_outbox", marked)
+    out = f"file://{tmp_path}/out"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = stateful.context_batches(source, out, f"file://{tmp_path}/mark").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["message_id"], list(r["context"]), r["reply_found"]) for r in got) == contexts_of([("a", i, i, i - 2) for i in range(2000)])
+    assert spark.read.parquet(f"{out}/contexts").select("part").distinct().count() > 1
+
+
+class Kept:
+    """A handle that keeps one list."""
+
+    rows = None
+
+    def getListState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.rows is not None
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+
+def test_a_channel_tells_blocks_at_a_time(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(stateful.Channel, "BLOCK", 7)
+    rng = random.Random(1)
+    rows = [("a", i * 100, i % 90, i - 1 - rng.randrange(70) if i % 3 else None) for i in range(200)]  # ids come again
+    channel, got = stateful.Channel(50, 5, 1800), []
+    channel.init(Kept())
+    for part in (rows[:120], rows[120:]):
+        shuffled = rng.sample(part, len(part))
+        frame = pd.DataFrame({"message_id": [r[2] for r in shuffled], "t": [r[1] for r in shuffled], "reply": [r[3] or 0 for r in shuffled], "replies": [int(r[3] is not None) for r in shuffled]})
+        told = list(channel.handleInputRows(("a",), iter([frame[:50], frame[50:]]), None))
+        assert max(map(len, told)) == 7
+        got += [(m, list(c), bool(f)) for x in told for m, c, f in zip(x["message_id"], x["context"], x["reply_found"], strict=True)]
+    assert got == contexts_of(rows)
